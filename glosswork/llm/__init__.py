@@ -1,0 +1 @@
+"""Operators for text that language models are trained on. Nothing outside this package imports it."""
