@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glosswork.llm import sentences, text_forms
+from glosswork.llm import language, sentences, text_forms
 from glosswork.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,5 +26,18 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return sentences.sentence_spans(table(spark, root, "segments"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_same_form": p1_same_form, "p3_found": p3_found}
+def _attributed(spark: SparkSession, root: str) -> DataFrame:
+    return language.attribute(*(table(spark, root, n) for n in ("documents", "segments", "rule_findings")))
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    return language.wrong_or_missing(_attributed(spark, root))
+
+
+def p4_languages(spark: SparkSession, root: str) -> DataFrame:
+    """The language of every document, finding and part of a mixed segment, with its confidence."""
+    return _attributed(spark, root).drop("label")
+
+
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_same_form": p1_same_form, "p3_found": p3_found, "p4_found": p4_found, "p4_languages": p4_languages}
 SQL: dict[str, str] = {}

@@ -17,17 +17,19 @@ in `same_look`; any length is read whole.
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from functools import lru_cache
 
 import pandas as pd
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from glosswork.session import cut_lineage
+
 # Letters of other scripts that are drawn like a Latin one, and that one.
 LOOK_ALIKES = {
     # Cyrillic
@@ -45,6 +47,10 @@ INVISIBLE = "­͏؜ᅟᅠ឴឵᠋᠌᠍᠎​‌‍‎‏‪‫‬‭‮⁠⁡
 # Hyphens drawn like the ASCII one.
 HYPHENS = "‐‑﹣－"
 
+# The blocks of combining diacritical marks, and the sound marks of kana.
+BLOCKS = ((0x300, 0x36F), (0x1AB0, 0x1AFF), (0x1DC0, 0x1DFF), (0x20D0, 0x20FF), (0x3099, 0x309A), (0xFE20, 0xFE2F), (0xFF9E, 0xFF9F))
+COMBINING = "".join(chr(c) for a, b in BLOCKS for c in range(a, b + 1))
+
 
 def _single_rules() -> dict[str, str]:
     """Code point -> text, for all code points that change by themselves."""
@@ -112,6 +118,17 @@ def build_rules() -> dict[str, str]:
     return rules
 
 
+def ranges(characters: set[str]) -> str:
+    """Character class body of a set of characters."""
+    runs: list[list[int]] = []
+    for cp in sorted(map(ord, characters)):
+        if runs and cp == runs[-1][1] + 1:
+            runs[-1][1] = cp
+        else:
+            runs.append([cp, cp])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
+
+
 class Transducer:
     """The compiled mapping."""
 
@@ -122,11 +139,12 @@ class Transducer:
             for c in source:
                 node = node.setdefault(c, {})
             node[""] = result
-        starts = "".join(f"\\U{ord(s):08x}" for s in rules if len(s) == 1)
+        starts, unseen = ranges({r for r in rules if len(r) == 1}), ranges(set(INVISIBLE))
+        marks = ranges(set(COMBINING) - set(INVISIBLE))
         # A cluster is active if it starts with a character that changes, or joins marks to its base.
-        unseen = "".join(f"\\U{ord(c):08x}" for c in INVISIBLE)
-        self.active = regex.compile(rf"[{starts}][\p{{M}}ﾞﾟ{unseen}]*|[^\p{{M}}\s{unseen}][{unseen}]*\p{{M}}[\p{{M}}{unseen}]*")
-        self.plain = regex.compile(rf"[^{starts}\p{{M}}]*+")
+        self.active = re.compile(rf"[{starts}][{marks}{unseen}]*|[^\s{marks}{unseen}][{unseen}]*[{marks}][{marks}{unseen}]*")
+        # Without a mark in the text clusters are single characters, and runs of them can be taken together.
+        self.marked, self.runs = re.compile(f"[{marks}]"), re.compile(f"[{starts}]+")
         self.known: dict[str, str] = {}
 
     def cluster(self, text: str) -> str:
@@ -148,9 +166,10 @@ class Transducer:
         return done
 
     def apply(self, text: str) -> str:
-        if text.isascii() or self.plain.fullmatch(text):
+        if text.isascii():
             return text
-        return self.active.sub(lambda m: self.cluster(m[0]), text)
+        pattern = self.active if self.marked.search(text) else self.runs
+        return pattern.sub(lambda m: self.known.get(m[0]) or self.cluster(m[0]), text)
 
 
 @lru_cache(1)
@@ -193,6 +212,7 @@ def same_look(segments: DataFrame) -> DataFrame:
     hashed = consistent(segments.select("seg_id", "doc_id", "text").filter(F.col("text").isNotNull())).filter(form != "")
     (a, b), (c, _) = fingerprint(form), fingerprint(F.col("text"))
     rows = hashed.select("seg_id", "doc_id", a.alias("look"), b.alias("look2"), c.alias("stored")).dropDuplicates(["seg_id"])
+    rows = cut_lineage(rows)  # five numbers a row; three branches read it
     key = ["doc_id", "look", "look2"]
     several = rows.groupBy(*key).agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).filter("lo <> hi").select(*key)
     rows = rows.join(several, key, "left_semi")
