@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glosswork.llm.text_forms import one_to_one, ranges, transducer
+from glosswork.session import cut_lineage
 
 #: bound of the labelled sample the machines are fitted on: documents a language, characters of each, clauses a language
 SAMPLE_DOCUMENTS, SAMPLE_CHARACTERS, SAMPLE_CLAUSES = 200, 2000, 1500
@@ -362,24 +363,26 @@ def letters_of_texts(look: Lookup, texts: list[str], running: bool) -> tuple[np.
 LETTERS = "lang string, letters bigint, sure double, longest bigint"
 
 
-def tally(rows: DataFrame, model: Languages, key: str, running: bool) -> DataFrame:
-    """key, lang, letters, sure, longest: letters of each row's text by language."""
+def tally(rows: DataFrame, model: Languages, keys: list[str], running: bool) -> DataFrame:
+    """keys (bigint), lang, letters, sure, longest: letters of each row's text by language; no shuffle."""
     shared = rows.sparkSession.sparkContext.broadcast(model)  # four machines of DIMENSIONS floats, 1 MB
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         look = Lookup(shared.value)
         for b in batches:
-            keys, texts, at = b[key].to_numpy(), b["text"].tolist(), 0
+            own, texts, at = [b[k].to_numpy() for k in keys], b["text"].tolist(), 0
             while at < len(texts):  # in portions of some million characters
                 size, to = 0, at
                 while to < len(texts) and (to == at or size + len(texts[to]) < 2_000_000):
                     size += len(texts[to])
                     to += 1
                 no, lang, letters, sure, longest = letters_of_texts(look, [t.replace("\x02", " ") for t in texts[at:to]], running)
-                yield pd.DataFrame({key: keys[at:to][no], "lang": np.array(LANGS, object)[lang], "letters": letters, "sure": sure, "longest": longest})
+                named = {k: v[at:to][no] for k, v in zip(keys, own)}
+                yield pd.DataFrame(named | {"lang": np.array(LANGS, object)[lang], "letters": letters, "sure": sure, "longest": longest})
                 at = to
 
-    return rows.filter(F.col("text").isNotNull()).select(key, "text").mapInPandas(run, f"{key} bigint, {LETTERS}")
+    some = rows.filter(F.col("text").isNotNull()).select(*keys, "text")
+    return some.mapInPandas(run, ", ".join(f"{k} bigint" for k in keys) + f", {LETTERS}")
 
 
 def decide(letters: DataFrame, key: str) -> DataFrame:
@@ -401,14 +404,14 @@ def attribute(documents: DataFrame, segments: DataFrame, findings: DataFrame) ->
     by their text. A segment is mixed if two languages have a clause of running text in it; it has a row for each.
     """
     model = fit(documents)
-    seg = segments.select("seg_id", "doc_id", "text", "kind").dropDuplicates(["seg_id"])
-    body = seg.filter(~F.coalesce(F.col("kind"), F.lit("")).isin("heading", "header", "footer"))
-    seg_letters = tally(body, model, "seg_id", False)
-    of_doc = seg_letters.join(body.select("seg_id", "doc_id"), "seg_id").select("doc_id", "lang", "letters", "sure")
-    docs = documents.select("doc_id", "text", "lang").dropDuplicates(["doc_id"])
-    plain = docs.join(body.select("doc_id").distinct(), "doc_id", "left_anti").filter(F.trim("text") != "")
-    doc_letters = of_doc.unionByName(tally(plain, model, "doc_id", True).drop("longest"))
-    labelled = docs.select("doc_id", notation(F.col("lang")).alias("label"))
+    body = segments.filter(~F.coalesce(F.col("kind"), F.lit("")).isin("heading", "header", "footer"))
+    # only counts leave the first stage, so no text is ever shuffled; three branches read those of the segments
+    seg_letters = cut_lineage(tally(body, model, ["seg_id", "doc_id"], False).dropDuplicates(["seg_id", "lang"]))
+    of_doc = seg_letters.select("doc_id", "lang", "letters", "sure")
+    plain = tally(documents, model, ["doc_id"], True).drop("longest").dropDuplicates(["doc_id", "lang"])
+    plain = plain.join(body.select("doc_id").distinct(), "doc_id", "left_anti")
+    doc_letters = of_doc.unionByName(plain)
+    labelled = documents.select("doc_id", notation(F.col("lang")).alias("label")).dropDuplicates(["doc_id"])
     doc_rows = decide(doc_letters, "doc_id").join(labelled, "doc_id").select(
         F.lit("document").alias("record"), F.col("doc_id").alias("record_id"), "lang", "confidence", "label"
     )

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glosswork.llm import language, sentences, text_forms
+from glosswork.llm import language, leaks, mixing, pieces, sentences, text_forms
 from glosswork.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,5 +39,31 @@ def p4_languages(spark: SparkSession, root: str) -> DataFrame:
     return _attributed(spark, root).drop("label")
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_same_form": p1_same_form, "p3_found": p3_found, "p4_found": p4_found, "p4_languages": p4_languages}
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    return leaks.leaked(table(spark, root, "documents"), table(spark, root, "eval_items"))
+
+
+def p8_mixture(spark: SparkSession, root: str) -> DataFrame:
+    """The chosen records with their repeats."""
+    return mixing.mix(table(spark, root, "documents"), table(spark, root, "mixture_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, root: str) -> DataFrame:
+    """Target and actual share of every source."""
+    return mixing.mix(table(spark, root, "documents"), table(spark, root, "mixture_targets"))[1]
+
+
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    return pieces.oversized(table(spark, root, "documents"))
+
+
+def p9_pieces(spark: SparkSession, root: str) -> DataFrame:
+    """All pieces of all documents, without their text."""
+    return pieces.pieces(table(spark, root, "documents")).drop("text")
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (p1_found, p1_same_form, p3_found, p4_found, p4_languages, p7_found, p8_mixture, p8_shares, p9_found, p9_pieces)
+}
 SQL: dict[str, str] = {}
