@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glosswork.llm import language, leaks, mixing, pieces, sentences, text_forms
+from glosswork.llm import language, leaks, mixing, pieces, scans, sentences, text_forms
 from glosswork.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,15 @@ def p4_languages(spark: SparkSession, root: str) -> DataFrame:
     return _attributed(spark, root).drop("label")
 
 
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    return scans.defects(table(spark, root, "ocr_pages"), table(spark, root, "documents"))
+
+
+def p6_paragraphs(spark: SparkSession, root: str) -> DataFrame:
+    """The continuous paragraphs of every scanned document."""
+    return scans.paragraphs(table(spark, root, "ocr_pages"))
+
+
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return leaks.leaked(table(spark, root, "documents"), table(spark, root, "eval_items"))
 
@@ -64,6 +73,6 @@ def p9_pieces(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_same_form, p3_found, p4_found, p4_languages, p7_found, p8_mixture, p8_shares, p9_found, p9_pieces)
+    for f in (p1_found, p1_same_form, p3_found, p4_found, p4_languages, p6_found, p6_paragraphs, p7_found, p8_mixture, p8_shares, p9_found, p9_pieces)
 }
 SQL: dict[str, str] = {}
