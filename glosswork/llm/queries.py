@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glosswork.llm import language, leaks, mixing, pieces, scans, sentences, text_forms
+from glosswork.llm import bitext, language, leaks, mixing, pieces, scans, sentences, text_forms
 from glosswork.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def p1_same_form(spark: SparkSession, root: str) -> DataFrame:
     return text_forms.consistent(rows).drop("text")
 
 
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return bitext.translations(table(spark, root, "segments"), table(spark, root, "documents"))
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return sentences.sentence_spans(table(spark, root, "segments"))
 
@@ -73,6 +77,6 @@ def p9_pieces(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_same_form, p3_found, p4_found, p4_languages, p6_found, p6_paragraphs, p7_found, p8_mixture, p8_shares, p9_found, p9_pieces)
+    for f in (p1_found, p1_same_form, p2_found, p3_found, p4_found, p4_languages, p6_found, p6_paragraphs, p7_found, p8_mixture, p8_shares, p9_found, p9_pieces)
 }
 SQL: dict[str, str] = {}
