@@ -1,21 +1,459 @@
-"""Queries of the core over the library's tables: name -> (spark, directory) -> DataFrame."""
+"""Queries of the core over the library's tables: name -> (spark, directory) -> DataFrame, and their SQL for a reference engine."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from glosswork.operators import timestamps
+from glosswork.functions import text as X
+from glosswork.operators import alignment, attribution, furniture, grading, measurements, reports, rules, sections, timestamps, versions
+from glosswork.sources import files
 from glosswork.sources.tables import table
+from glosswork.streaming import changes
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+STATUSES = ["PENDING", "PROCESSING", "PASS", "PARTIAL", "FAIL", "REVIEW_REQUIRED", "ERROR"]
+GRADED = ["PASS", "PARTIAL", "FAIL", "REVIEW_REQUIRED"]
+HAN = X.HAN
+KANA = X.KANA_HANGUL
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
+# ---- problem 5 ----
 
+
+@query()
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     names = ("documents", "document_versions", "scan_logs", "document_sources")
     return timestamps.library_instants(*(table(spark, root, n) for n in names))
 
 
-QUERIES: dict[str, Query] = {"p5_found": p5_found}
-SQL: dict[str, str] = {}
+# ---- text functions ----
+
+
+@query(r"""
+SELECT kind, count(*) AS segments, CAST(sum(length(regexp_replace(text, '[^\p{L}]', '', 'g'))) AS BIGINT) AS letters,
+  CAST(sum(len(list_filter(string_split_regex(trim(text), '\s+'), lambda w: w <> ''))) AS BIGINT) AS words
+FROM segments GROUP BY kind""")
+def letters_and_words(spark: SparkSession, root: str) -> DataFrame:
+    s = table(spark, root, "segments")
+    return s.groupBy("kind").agg(F.count("*").alias("segments"), F.sum(F.length(X.letters(F.col("text")))).alias("letters"), F.sum(F.size(X.words(F.col("text")))).cast("bigint").alias("words"))
+
+
+@query(rf"""
+WITH s AS (SELECT doc_id, regexp_matches(text, '[{KANA}]') AS other, length(regexp_replace(text, '[^{HAN}]', '', 'g')) AS h,
+  length(regexp_replace(regexp_replace(text, '[{HAN}]', '', 'g'), '[^\p{{L}}]', '', 'g')) AS l FROM segments)
+SELECT doc_id, CAST(sum(CASE WHEN other THEN 0 ELSE h END) AS BIGINT) AS han_characters, CAST(sum(l) AS BIGINT) AS other_letters,
+  CAST(count(*) FILTER (other) AS BIGINT) AS rejected FROM s GROUP BY doc_id""")
+def script_split(spark: SparkSession, root: str) -> DataFrame:
+    return attribution.script_split(table(spark, root, "segments"))
+
+
+@query(r"""
+SELECT doc_id, sha256(lower(file_path)) AS item_id,
+  coalesce(nullif(trim(regexp_replace(translate(regexp_replace(file_name, '\.[^.]*$', ''), '_-', '  '), '\s+', ' ', 'g')), ''), file_name) AS title,
+  CASE WHEN regexp_matches(lower(file_name), 'wi-|wi_|work instruction|instruksi kerja') THEN 'WORK_INSTRUCTION'
+    WHEN regexp_matches(lower(file_name), 'guideline|panduan|pedoman') THEN 'GUIDELINE' WHEN regexp_matches(lower(file_name), 'policy|kebijakan') THEN 'POLICY'
+    WHEN regexp_matches(lower(file_name), 'manual|buku panduan') THEN 'MANUAL' WHEN regexp_matches(lower(file_name), 'report|laporan') THEN 'REPORT'
+    WHEN regexp_matches(lower(file_name), 'record|rekaman|catatan') THEN 'RECORD' WHEN regexp_matches(lower(file_name), 'sop|standard operating') THEN 'SOP'
+    WHEN regexp_matches(lower(file_name), 'form|formulir|frm-|frm_') THEN 'FORM' ELSE 'OTHER' END AS type
+FROM documents""")
+def file_identity(spark: SparkSession, root: str) -> DataFrame:
+    d = table(spark, root, "documents")
+    return d.select("doc_id", X.item_id(F.col("file_path")).alias("item_id"), X.title_from_name(F.col("file_name")).alias("title"), X.guess_type(F.col("file_name")).alias("type"))
+
+
+@query(r"""
+SELECT doc_id, CASE WHEN file_size < 1024 THEN file_size || ' B' WHEN file_size < 1048576 THEN printf('%.1f KB', round(file_size / 1024, 1))
+  WHEN file_size < 1073741824 THEN printf('%.1f MB', round(file_size / 1048576, 1)) ELSE printf('%.1f GB', round(file_size / 1073741824, 1)) END AS size
+FROM documents""")
+def human_sizes(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "documents").select("doc_id", X.human_size(F.col("file_size")).alias("size"))
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, generate_subscripts(string_split_regex(text, '\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]'), 1) AS i,
+  unnest(string_split_regex(text, '\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]')) AS line FROM documents)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS lines, CAST(max(i) AS BIGINT) AS last_line, CAST(sum(length(trim(line))) AS BIGINT) AS characters FROM l WHERE trim(line) <> '' GROUP BY doc_id""")
+def text_lines(spark: SparkSession, root: str) -> DataFrame:
+    lines = files.text_lines(table(spark, root, "documents"))
+    return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), (F.max("seg_index") + 1).cast("bigint").alias("last_line"), F.sum(F.length("text")).alias("characters"))
+
+
+# ---- furniture ----
+
+_KEY = r"trim(regexp_replace(lower(regexp_replace(text, '[^\p{L}\s\p{Z}]', '', 'g')), '[\s\p{Z}]+', ' ', 'g'))"
+_LINES = rf"""p AS (SELECT doc_id, page, CASE WHEN length(text) + 2 * length(regexp_replace(text, '[^{HAN}]', '', 'g')) <= 120 THEN {_KEY} END AS key FROM segments WHERE page IS NOT NULL),
+long_enough AS (SELECT doc_id FROM p GROUP BY doc_id HAVING count(DISTINCT page) >= 3),
+lines AS (SELECT doc_id, key, count(DISTINCT page) AS pages FROM p WHERE key <> '' AND doc_id IN (SELECT doc_id FROM long_enough) GROUP BY doc_id, key HAVING count(DISTINCT page) >= 3)"""
+_VOCABULARY = rf"""vocabulary AS (SELECT DISTINCT doc_id, w AS word FROM (SELECT doc_id, unnest(string_split(key, ' ')) AS w FROM
+  (SELECT doc_id, key FROM lines UNION ALL SELECT doc_id, {_KEY} FROM segments WHERE kind IN ('header', 'footer'))) WHERE length(w) >= 4)"""
+
+
+@query(f"WITH {_LINES} SELECT doc_id, key, pages FROM lines")
+def furniture_lines(spark: SparkSession, root: str) -> DataFrame:
+    return furniture.furniture_lines(table(spark, root, "segments"))
+
+
+@query(f"WITH {_LINES}, {_VOCABULARY} SELECT doc_id, word FROM vocabulary")
+def furniture_vocabulary(spark: SparkSession, root: str) -> DataFrame:
+    return furniture.furniture_vocabulary(table(spark, root, "segments"))
+
+
+@query(rf"""WITH {_LINES}, {_VOCABULARY}, v AS (SELECT doc_id, list(word) AS words FROM vocabulary GROUP BY doc_id),
+rest AS (SELECT s.* FROM (SELECT *, {_KEY} AS key FROM segments WHERE kind NOT IN ('header', 'footer')) s WHERE NOT EXISTS (SELECT 1 FROM lines l WHERE l.doc_id = s.doc_id AND l.key = s.key)),
+cut AS (SELECT seg_id, CASE WHEN words IS NULL THEN text ELSE array_to_string(list_filter(string_split_regex(trim(text), '\s+'), lambda w: regexp_replace(w, '[^\p{{L}}]', '', 'g') = '' OR
+  len(list_filter(words, lambda x: x = lower(regexp_replace(w, '[^\p{{L}}]', '', 'g')) OR (length(x) >= 6 AND length(regexp_replace(w, '[^\p{{L}}]', '', 'g')) >= 6
+  AND (contains(x, lower(regexp_replace(w, '[^\p{{L}}]', '', 'g'))) OR contains(lower(regexp_replace(w, '[^\p{{L}}]', '', 'g')), x))))) = 0), ' ') END AS text
+  FROM rest LEFT JOIN v USING (doc_id))
+SELECT seg_id, text FROM cut WHERE regexp_matches(text, '[\p{{L}}\p{{N}}]')""")
+def content_segments(spark: SparkSession, root: str) -> DataFrame:
+    return furniture.content_segments(table(spark, root, "segments")).select("seg_id", "text")
+
+
+@query(r"""
+WITH p AS (SELECT doc_id, page, trim(regexp_replace(text, '[0-9]+', '', 'g')) AS key, row_number() OVER (PARTITION BY doc_id, page ORDER BY seg_index, text) AS t,
+  row_number() OVER (PARTITION BY doc_id, page ORDER BY seg_index DESC, text DESC) AS b FROM segments WHERE page IS NOT NULL),
+n AS (SELECT doc_id, count(DISTINCT page) AS pages FROM p GROUP BY doc_id),
+e AS (SELECT doc_id, 'header' AS edge, key FROM p WHERE t <= 2 UNION ALL SELECT doc_id, 'footer', key FROM p WHERE b <= 2)
+SELECT doc_id, edge, key, count(*) AS times FROM e JOIN n USING (doc_id) WHERE length(key) >= 8 GROUP BY doc_id, edge, key, pages HAVING count(*) >= greatest(2, floor(pages * 0.6))""")
+def repeated_edge_lines(spark: SparkSession, root: str) -> DataFrame:
+    return furniture.edge_lines(table(spark, root, "segments"))
+
+
+# ---- sections ----
+
+_ISLANDS = """o AS (SELECT *, kind = 'heading' AS heading, coalesce(section, CASE WHEN kind = 'heading' THEN text END) AS own,
+  row_number() OVER (PARTITION BY doc_id ORDER BY seg_index, seg_id) AS rn FROM segments),
+c AS (SELECT *, CASE WHEN rn > 1 THEN coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY seg_index, seg_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '(document body)') END AS cur FROM o),
+q AS (SELECT *, 1 + sum(CASE WHEN rn > 1 AND (heading OR (section IS NOT NULL AND section IS DISTINCT FROM cur)) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY seg_index, seg_id ROWS UNBOUNDED PRECEDING) AS seq,
+  bool_or(own IS NOT NULL) OVER (PARTITION BY doc_id) AS structured, bool_or(page IS NOT NULL) OVER (PARTITION BY doc_id) AS paged FROM c),
+n AS (SELECT *, CASE WHEN NOT structured AND paged THEN dense_rank() OVER (PARTITION BY doc_id ORDER BY coalesce(page, 0)) ELSE seq END AS sequence,
+  CASE WHEN NOT structured AND paged THEN 'Page ' || coalesce(page, 0) ELSE coalesce(first_value(own) OVER (PARTITION BY doc_id, seq ORDER BY seg_index, seg_id), '(document body)') END AS section_name FROM q)"""
+
+
+@query(rf"""WITH {_ISLANDS} SELECT doc_id, CAST(sequence AS BIGINT) AS sequence, min_by(section_name, (seg_index, seg_id)) AS name, coalesce(arg_min_null(page, (seg_index, seg_id)), 0) AS page,
+  count(*) AS segment_count, CAST(sum(length(regexp_replace(text, '[^\p{{L}}]', '', 'g'))) AS BIGINT) AS total_characters FROM n GROUP BY doc_id, sequence""")
+def section_islands(spark: SparkSession, root: str) -> DataFrame:
+    return sections.sections(table(spark, root, "segments")).withColumns({"sequence": F.col("sequence").cast("bigint"), "page": F.coalesce("page", F.lit(0))})
+
+
+@query("""SELECT doc_id, CASE WHEN bool_or(kind = 'heading') THEN 'heading' WHEN bool_or(kind = 'sheet_cell') THEN 'worksheet'
+  WHEN bool_or(page IS NOT NULL) AND NOT bool_or(section IS NOT NULL) THEN 'page' WHEN bool_or(section IS NOT NULL) THEN 'heading' ELSE 'document' END AS origin FROM segments GROUP BY doc_id""")
+def section_origin(spark: SparkSession, root: str) -> DataFrame:
+    return sections.origins(table(spark, root, "segments"))
+
+
+@query("""WITH e AS (SELECT DISTINCT doc_id, sequence, characters FROM document_sections), u AS (SELECT doc_id, sequence, unnest(map_entries(characters)) AS x FROM e)
+SELECT doc_id, sequence, x.key AS language, x.value AS characters, round(100.0 * x.value / nullif(sum(x.value) OVER (PARTITION BY doc_id, sequence), 0), 2) AS share FROM u""")
+def section_coverage(spark: SparkSession, root: str) -> DataFrame:
+    return sections.coverage(table(spark, root, "document_sections").dropDuplicates(["doc_id", "sequence"]))
+
+
+@query("""WITH a AS (SELECT doc_id, sequence, total_characters >= 120 AS ev, coalesce(characters['en'], 0) AS en, coalesce(characters['id'], 0) AS id, coalesce(characters['zh'], 0) AS zh FROM (SELECT DISTINCT doc_id, sequence, total_characters, characters FROM document_sections)),
+b AS (SELECT *, greatest(en, id, 3.0 * zh) AS longest, (en > 0)::INT + (id > 0)::INT + (zh > 0)::INT AS present FROM a)
+SELECT doc_id, sequence, ev AS evaluated, concat_ws(',', CASE WHEN ev AND en = 0 THEN 'en' END, CASE WHEN ev AND id = 0 THEN 'id' END, CASE WHEN ev AND zh = 0 THEN 'zh' END) AS missing,
+  concat_ws(',', CASE WHEN ev AND present >= 2 AND en > 0 AND en < 0.35 * longest THEN 'en' END, CASE WHEN ev AND present >= 2 AND id > 0 AND id < 0.35 * longest THEN 'id' END,
+  CASE WHEN ev AND present >= 2 AND zh > 0 AND 3.0 * zh < 0.35 * longest THEN 'zh' END) AS short FROM b""")
+def section_gaps(spark: SparkSession, root: str) -> DataFrame:
+    found = sections.gaps(table(spark, root, "document_sections").dropDuplicates(["doc_id", "sequence"]), ("en", "id", "zh"))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("missing", "short")})
+
+
+@query("""SELECT unnest(missing) AS language, count(*) AS sections FROM document_sections WHERE evaluated AND (len(missing) > 0 OR len(short) > 0) GROUP BY 1""")
+def sections_missing(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "document_sections").filter(F.col("evaluated") & ((F.size("missing") > 0) | (F.size("short") > 0)))
+    return rows.select(F.explode("missing").alias("language")).groupBy("language").agg(F.count("*").alias("sections"))
+
+
+@query("SELECT doc_id, sequence, name FROM document_sections WHERE list_contains(missing, 'zh')")
+def sections_without_chinese(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "document_sections").filter(F.array_contains("missing", "zh")).select("doc_id", "sequence", "name")
+
+
+# ---- attribution, alignment ----
+
+
+@query("""SELECT language, CAST(sum(characters) AS BIGINT) AS characters, round(least(1.0, sum(least(greatest(confidence, 0), 1) * characters) / sum(CASE WHEN confidence IS NOT NULL THEN characters END)), 4) AS confidence,
+  count(DISTINCT doc_id) AS documents FROM language_tallies GROUP BY language""")
+def weighted_confidence(spark: SparkSession, root: str) -> DataFrame:
+    known = F.when(F.col("confidence").isNotNull(), F.col("characters"))
+    sure = F.greatest(F.least(F.col("confidence"), F.lit(1.0)), F.lit(0.0))
+    return table(spark, root, "language_tallies").groupBy("language").agg(
+        F.sum("characters").alias("characters"), F.round(F.least(F.lit(1.0), F.sum(F.when(F.col("confidence").isNotNull(), sure) * F.col("characters")) / F.sum(known)), 4).alias("confidence"),
+        F.count_distinct("doc_id").alias("documents"),
+    )
+
+
+@query("""WITH t AS (SELECT doc_id, language, sum(characters) AS n FROM language_tallies WHERE language IN ('en', 'id', 'zh') GROUP BY 1, 2)
+SELECT doc_id, arg_max(language, (n, CASE language WHEN 'en' THEN 2 WHEN 'id' THEN 1 ELSE 0 END)) AS language FROM t GROUP BY doc_id""")
+def dominant_language(spark: SparkSession, root: str) -> DataFrame:
+    t = table(spark, root, "language_tallies").filter(F.col("language").isin("en", "id", "zh")).groupBy("doc_id", "language").agg(F.sum("characters").alias("n"))
+    first = F.when(F.col("language") == "en", 2).when(F.col("language") == "id", 1).otherwise(0)
+    return t.groupBy("doc_id").agg(F.max_by("language", F.struct(F.col("n"), first)).alias("language"))
+
+
+@query()
+def language_profile(spark: SparkSession, root: str) -> DataFrame:
+    """Tallies of every document by the n-gram classifier, trained on labelled documents."""
+    docs = table(spark, root, "documents").filter(F.lower("lang").isin("en", "id"))
+    model = attribution.train(docs.select(F.lower("lang").alias("lang"), F.col("text")))
+    return attribution.tallies(table(spark, root, "segments").dropDuplicates(["seg_id"]), ["doc_id"], model)
+
+
+_DOMINANT = rf"""CASE WHEN l = 0 THEN CASE WHEN h > 0 THEN 'zh' ELSE 'unassigned' END WHEN h * 3 > l THEN 'zh' ELSE 'latin' END"""
+
+
+@query(rf"""WITH {_ISLANDS}, b AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY seg_index, seg_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM segments),
+s AS (SELECT n.doc_id, n.sequence, n.text, CASE WHEN regexp_matches(n.text, '[{KANA}]') THEN 0 ELSE length(regexp_replace(n.text, '[^{HAN}]', '', 'g')) END AS h,
+  length(regexp_replace(regexp_replace(n.text, '[{HAN}]', '', 'g'), '[^\p{{L}}]', '', 'g')) AS l FROM n WHERE trim(n.text) <> '')
+SELECT doc_id, CAST(sequence AS BIGINT) AS sequence, {_DOMINANT} AS language, count(*) AS segments, CAST(sum(length(regexp_replace(text, '[^\p{{L}}]', '', 'g'))) AS BIGINT) AS characters FROM s GROUP BY 1, 2, 3""")
+def aligned_blocks(spark: SparkSession, root: str) -> DataFrame:
+    return alignment.aligned_blocks(table(spark, root, "segments")).select("doc_id", F.col("sequence").cast("bigint"), "language", "segments", "characters")
+
+
+@query("""WITH b AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY seg_index, seg_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM segments)
+SELECT doc_id, count(*) AS kept, CAST(sum(length(text)) AS BIGINT) AS characters FROM b WHERE spent < 1000 GROUP BY doc_id""")
+def alignment_budget(spark: SparkSession, root: str) -> DataFrame:
+    return alignment.budgeted(table(spark, root, "segments"), 1000).groupBy("doc_id").agg(F.count("*").alias("kept"), F.sum(F.length("text")).alias("characters"))
+
+
+# ---- measurements, rules ----
+
+
+@query()
+def found_measurements(spark: SparkSession, root: str) -> DataFrame:
+    """Every measurement of every segment with the values it may denote."""
+    rows = table(spark, root, "segments").dropDuplicates(["seg_id"]).select("seg_id", F.posexplode(measurements.measurements(F.col("text"))).alias("no", "m"))
+    return rows.select("seg_id", "no", "m.raw", "m.values", "m.unit")
+
+
+@query()
+def numeric_mismatches(spark: SparkSession, root: str) -> DataFrame:
+    return rules.numeric_mismatches(table(spark, root, "segments").dropDuplicates(["seg_id"]))
+
+
+@query()
+def rule_outcomes(spark: SparkSession, root: str) -> DataFrame:
+    return rules.run(table(spark, root, "segments").dropDuplicates(["seg_id"]))
+
+
+@query(r"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seg_index, seg_id) AS rn, kind IN ('header', 'footer') OR page IS NULL OR page = 1 AS near FROM segments),
+a AS (SELECT *, bool_or(near) OVER (PARTITION BY doc_id) AS any_near FROM r),
+c AS (SELECT doc_id, seg_index, seg_id, nullif(regexp_extract(text, '(?:^|[^A-Za-z0-9-])([A-Z]{2,6}(?:-[A-Z0-9]{2,8}){1,4}-?[0-9]{1,4})(?:$|[^A-Za-z0-9-])', 1), '') AS code,
+  nullif(regexp_extract(text, '(?:^|[^A-Za-z0-9])[Rr][Ee][Vv](?:[Ii][Ss][Ii][Oo][Nn])?\.?\s*([0-9]{1,4})(?:$|[^A-Za-z0-9_])', 1), '') AS rev FROM a WHERE near OR (NOT any_near AND rn <= 40))
+SELECT doc_id, arg_min(code, (seg_index, seg_id)) FILTER (code IS NOT NULL) AS document_code, arg_min(rev, (seg_index, seg_id)) FILTER (rev IS NOT NULL) AS revision
+FROM c WHERE code IS NOT NULL OR rev IS NOT NULL GROUP BY doc_id""")
+def document_codes(spark: SparkSession, root: str) -> DataFrame:
+    return rules.code_and_revision(table(spark, root, "segments"))
+
+
+@query("""WITH c AS (SELECT doc_id, seg_index, seg_id, text, upper(regexp_replace(unnest(font_colors), '^#+', '')) AS colour FROM segments)
+SELECT doc_id, colour, count(*) AS times, substring(arg_min(text, (seg_index, seg_id)), 1, 60) AS example FROM c WHERE colour <> '000000' GROUP BY doc_id, colour""")
+def colour_offenders(spark: SparkSession, root: str) -> DataFrame:
+    return rules.colour_offenders(table(spark, root, "segments"))
+
+
+# ---- scores ----
+
+_WIDE = """w AS (SELECT doc_id, coalesce(sum(characters) FILTER (language = 'en'), 0) AS en, coalesce(sum(characters) FILTER (language = 'id'), 0) AS id, coalesce(sum(characters) FILTER (language = 'zh'), 0) AS zh FROM language_tallies GROUP BY doc_id),
+s AS (SELECT *, (en + id + 3.0 * zh) / 3 AS mean FROM w),
+g AS (SELECT *, CASE WHEN mean > 0 THEN round((least(least(en / 100.0, 1), least(en / (mean * 0.5), 1)) + least(least(id / 100.0, 1), least(id / (mean * 0.5), 1)) + least(least(zh / 50.0, 1), least(3.0 * zh / (mean * 0.5), 1))) * 100 / 3, 2) ELSE 0 END AS score FROM s)"""
+
+
+@query(f"""WITH {_WIDE} SELECT doc_id, CAST(score AS DOUBLE) AS score, CASE WHEN en = 0 AND id = 0 AND zh = 0 THEN 'REVIEW_REQUIRED' WHEN en = 0 OR id = 0 OR zh = 0 THEN 'FAIL'
+  WHEN en < 100 OR id < 100 OR zh < 50 OR score < 80 THEN 'PARTIAL' ELSE 'PASS' END AS status FROM g""")
+def document_scores(spark: SparkSession, root: str) -> DataFrame:
+    return grading.verdicts(table(spark, root, "language_tallies")).select("doc_id", "score", "status")
+
+
+@query("""WITH w AS (SELECT doc_id, p.language, p.threshold, coalesce(sum(t.characters) FILTER (t.language = p.language), 0) AS n FROM language_tallies t CROSS JOIN (VALUES ('en', 100), ('id', 100), ('zh', 50)) p(language, threshold) GROUP BY 1, 2, 3)
+SELECT language, count(*) AS documents, CAST(sum(CASE WHEN n > 0 AND n >= threshold THEN 1 ELSE 0 END) AS BIGINT) AS meeting FROM w GROUP BY language""")
+def language_compliance(spark: SparkSession, root: str) -> DataFrame:
+    results = grading.threshold_results(table(spark, root, "language_tallies"))
+    return results.groupBy("language").agg(F.count("*").alias("documents"), F.count_if("meets").alias("meeting"))
+
+
+@query(r"SELECT doc_id FROM documents WHERE length(regexp_replace(text, '[^\p{L}]', '', 'g')) < 20")
+def ocr_required(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "documents").filter(F.length(X.letters(F.col("text"))) < 20).select("doc_id")
+
+
+# ---- counts and lists ----
+
+
+@query("""WITH d(position, analysis_status) AS (VALUES (0, 'PENDING'), (1, 'PROCESSING'), (2, 'PASS'), (3, 'PARTIAL'), (4, 'FAIL'), (5, 'REVIEW_REQUIRED'), (6, 'ERROR'))
+SELECT position, d.analysis_status, count(t.doc_id) AS n FROM d LEFT JOIN (SELECT * FROM documents WHERE is_active) t ON t.analysis_status = d.analysis_status GROUP BY 1, 2""")
+def status_counts(spark: SparkSession, root: str) -> DataFrame:
+    return reports.count_by(table(spark, root, "documents").filter("is_active"), "analysis_status", STATUSES)
+
+
+@query("""SELECT round(100.0 * count(*) FILTER (analysis_status = 'PASS') / nullif(count(*) FILTER (analysis_status IN ('PASS', 'PARTIAL', 'FAIL', 'REVIEW_REQUIRED')), 0), 1) AS percent FROM documents WHERE is_active""")
+def compliance_percent(spark: SparkSession, root: str) -> DataFrame:
+    return reports.share(table(spark, root, "documents").filter("is_active"), "analysis_status", "PASS", GRADED)
+
+
+@query("SELECT document_type, count(*) AS n FROM documents WHERE is_active AND document_type IS NOT NULL GROUP BY 1 ORDER BY n DESC, document_type LIMIT 10")
+def top_types(spark: SparkSession, root: str) -> DataFrame:
+    return reports.top(table(spark, root, "documents").filter("is_active"), "document_type")
+
+
+@query("SELECT s.name, count(*) AS n FROM documents d JOIN document_sources s ON s.id = d.document_source_id WHERE d.is_active GROUP BY 1 ORDER BY n DESC, s.name LIMIT 10")
+def top_sources(spark: SparkSession, root: str) -> DataFrame:
+    # counted before the join, so a hot source is one row in it
+    counts = table(spark, root, "documents").filter("is_active").groupBy("document_source_id").agg(F.count("*").alias("n"))
+    names = table(spark, root, "document_sources").select(F.col("id").alias("document_source_id"), "name")
+    return counts.join(names, "document_source_id").groupBy("name").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "name").limit(10)
+
+
+@query("SELECT document_id, max(id) AS id, arg_max(version_number, id) AS version_number FROM document_versions GROUP BY document_id")
+def latest_versions(spark: SparkSession, root: str) -> DataFrame:
+    v = table(spark, root, "document_versions").select("document_id", "id", "version_number")
+    return changes.latest(v, ["document_id"]).select("document_id", "id", "version_number")
+
+
+@query("""WITH v AS (SELECT DISTINCT id, document_id, version_number, file_hash FROM document_versions)
+SELECT id, document_id, version_number, row_number() OVER (PARTITION BY document_id ORDER BY version_number DESC, id DESC) = 1 AS current,
+  file_hash IS DISTINCT FROM lag(file_hash) OVER (PARTITION BY document_id ORDER BY version_number, id) AS changed FROM v""")
+def current_versions(spark: SparkSession, root: str) -> DataFrame:
+    return versions.current_versions(table(spark, root, "document_versions"))
+
+
+@query("""SELECT v.id FROM document_versions v WHERE v.id IN (SELECT max(id) FROM document_versions GROUP BY document_id) AND EXISTS (SELECT 1 FROM rule_findings f WHERE f.doc_id = v.document_id AND f.severity IN ('WARNING', 'ERROR', 'CRITICAL')) GROUP BY v.id""")
+def latest_with_findings(spark: SparkSession, root: str) -> DataFrame:
+    last = table(spark, root, "document_versions").groupBy("document_id").agg(F.max("id").alias("id"))
+    bad = table(spark, root, "rule_findings").filter(F.col("severity").isin("WARNING", "ERROR", "CRITICAL")).select(F.col("doc_id").alias("document_id"))
+    return last.join(bad, "document_id", "left_semi").select("id")
+
+
+@query("""SELECT document_source_id AS source_id, count(*) AS scans, CAST(sum(total_found) AS BIGINT) AS total_found, CAST(sum(new_files) AS BIGINT) AS new_files, CAST(sum(modified_files) AS BIGINT) AS modified_files,
+  CAST(sum(unchanged_files) AS BIGINT) AS unchanged_files, count(*) FILTER (error_count > 0) AS with_errors FROM (SELECT DISTINCT * FROM scan_logs) GROUP BY 1""")
+def scan_totals(spark: SparkSession, root: str) -> DataFrame:
+    s = table(spark, root, "scan_logs").dropDuplicates(["id"])
+    sums = [F.sum(c).alias(c) for c in ("total_found", "new_files", "modified_files", "unchanged_files")]
+    return s.groupBy(F.col("document_source_id").alias("source_id")).agg(F.count("*").alias("scans"), *sums, F.count_if(F.col("error_count") > 0).alias("with_errors"))
+
+
+_LISTED = """prev AS (SELECT document_source_id AS source_id, source_item_id AS item_id, source_etag AS etag, file_size AS size, file_hash AS hash, is_active FROM documents),
+new AS (SELECT source_id, item_id, etag, size + (doc_id % 7 = 0)::INT AS size, CASE WHEN doc_id % 5 = 0 THEN 'other' ELSE hash END AS hash FROM (SELECT document_source_id AS source_id, source_item_id AS item_id,
+  CASE WHEN doc_id % 3 = 0 THEN source_etag || 'x' ELSE source_etag END AS etag, file_size AS size, file_hash AS hash, doc_id FROM documents) WHERE doc_id % 11 <> 0
+  UNION ALL SELECT document_source_id, 'new-' || doc_id, NULL, file_size, file_hash FROM documents WHERE doc_id % 13 = 0)"""
+
+
+def _listing(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """The index as the documents table has it, and a later listing derived from it by arithmetic on the key."""
+    d = table(spark, root, "documents")
+    when = F.timestamp_seconds(F.lit(0))
+    index = d.select(
+        F.col("document_source_id").alias("source_id"), F.col("source_item_id").alias("item_id"), F.col("source_etag").alias("etag"), F.col("file_size").alias("size"),
+        when.alias("modified"), F.col("file_hash").alias("hash"), F.col("is_active").alias("active"),
+    )
+    etag = F.when(F.col("doc_id") % 3 == 0, F.concat("source_etag", F.lit("x"))).otherwise(F.col("source_etag"))
+    kept = d.filter(F.col("doc_id") % 11 != 0).select(
+        F.col("document_source_id").alias("source_id"), F.col("source_item_id").alias("item_id"), etag.alias("etag"),
+        (F.col("file_size") + (F.col("doc_id") % 7 == 0).cast("int")).alias("size"), when.alias("modified"),
+        F.when(F.col("doc_id") % 5 == 0, "other").otherwise(F.col("file_hash")).alias("hash"), F.lit(False).alias("is_remote"),
+    )
+    fresh = d.filter(F.col("doc_id") % 13 == 0).select(
+        F.col("document_source_id").alias("source_id"), F.concat(F.lit("new-"), "doc_id").alias("item_id"), F.lit(None).cast("string").alias("etag"), F.col("file_size").alias("size"),
+        when.alias("modified"), F.col("file_hash").alias("hash"), F.lit(False).alias("is_remote"),
+    )
+    return kept.unionByName(fresh), index
+
+
+_OUTCOMES = f"""WITH {_LISTED}, j AS (SELECT coalesce(n.source_id, p.source_id) AS source_id, coalesce(n.item_id, p.item_id) AS item_id, CASE WHEN p.item_id IS NULL THEN 'NEW' WHEN n.item_id IS NULL THEN CASE WHEN p.is_active THEN 'MISSING' END
+  WHEN n.etag IS NOT NULL AND p.etag IS NOT NULL THEN CASE WHEN n.etag <> p.etag THEN 'MODIFIED' ELSE 'UNCHANGED' END WHEN n.size = p.size THEN 'UNCHANGED' WHEN n.hash <> p.hash THEN 'MODIFIED' ELSE 'UNCHANGED' END AS outcome
+  FROM new n FULL JOIN prev p ON n.source_id = p.source_id AND n.item_id = p.item_id)"""
+
+
+@query(f"{_OUTCOMES} SELECT source_id, item_id, outcome FROM j WHERE outcome IS NOT NULL")
+def snapshot_diff(spark: SparkSession, root: str) -> DataFrame:
+    return versions.snapshot_diff(*_listing(spark, root))
+
+
+@query(f"""{_OUTCOMES} SELECT source_id, count(*) FILTER (outcome <> 'MISSING') AS total_found, count(*) FILTER (outcome = 'NEW') AS new_files, count(*) FILTER (outcome = 'MODIFIED') AS modified_files,
+  count(*) FILTER (outcome = 'UNCHANGED') AS unchanged_files, count(*) FILTER (outcome = 'MISSING') AS deleted_files, count(*) FILTER (outcome IN ('NEW', 'MODIFIED')) AS queued_for_analysis FROM j WHERE outcome IS NOT NULL GROUP BY source_id""")
+def scan_counters(spark: SparkSession, root: str) -> DataFrame:
+    return versions.scan_counters(versions.snapshot_diff(*_listing(spark, root)))
+
+
+@query("""SELECT id, name FROM document_sources WHERE enabled AND deleted_at IS NULL AND type <> 'UPLOAD' AND (last_scan_at IS NULL OR last_scan_at <= TIMESTAMP '2026-07-01 00:00:00' - to_minutes(scan_interval_minutes))""")
+def due_sources(spark: SparkSession, root: str) -> DataFrame:
+    return reports.due(table(spark, root, "document_sources"), F.lit("2026-07-01 00:00:00").cast("timestamp_ntz")).select("id", "name")
+
+
+@query("SELECT id, document_source_id FROM scan_logs WHERE status = 'FAILED' OR completed_at IS NULL ORDER BY id DESC LIMIT 5")
+def last_failed_scans(spark: SparkSession, root: str) -> DataFrame:
+    failed = table(spark, root, "scan_logs").filter((F.col("status") == "FAILED") | F.col("completed_at").isNull())
+    return failed.orderBy(F.desc("id")).limit(5).select("id", "document_source_id")
+
+
+@query("""SELECT document_source_id, id, status FROM (SELECT *, row_number() OVER (PARTITION BY document_source_id ORDER BY id DESC) AS r FROM (SELECT DISTINCT id, document_source_id, status FROM scan_logs)) WHERE r <= 3""")
+def last_scans_by_source(spark: SparkSession, root: str) -> DataFrame:
+    s = table(spark, root, "scan_logs").select("id", "document_source_id", "status").distinct()
+    return reports.latest_per(s, "document_source_id", "id", 3).select("document_source_id", "id", "status")
+
+
+@query("SELECT doc_id, compliance_score FROM documents WHERE is_active ORDER BY compliance_score DESC NULLS FIRST, doc_id DESC LIMIT 25 OFFSET 25")
+def document_list_page(spark: SparkSession, root: str) -> DataFrame:
+    return reports.list_page(table(spark, root, "documents").filter("is_active").select("doc_id", "compliance_score"), "compliance_score", True, "doc_id", page=2)
+
+
+@query("SELECT doc_id, document_title FROM documents WHERE contains(lower(document_code), 'qa-0') OR contains(lower(document_title), 'qa-0') OR contains(lower(file_name), 'qa-0')")
+def search_contains(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "documents").filter(reports.contains_term("QA-0", "document_code", "document_title", "file_name")).select("doc_id", "document_title")
+
+
+@query("""SELECT finding_id, severity, CASE severity WHEN 'INFO' THEN 1 WHEN 'WARNING' THEN 2 WHEN 'ERROR' THEN 3 WHEN 'CRITICAL' THEN 4 END AS rank FROM rule_findings GROUP BY ALL ORDER BY rank DESC, finding_id""")
+def findings_by_severity(spark: SparkSession, root: str) -> DataFrame:
+    s = F.col("severity")
+    rank = F.when(s == "INFO", 1).when(s == "WARNING", 2).when(s == "ERROR", 3).when(s == "CRITICAL", 4)
+    return table(spark, root, "rule_findings").select("finding_id", "severity", rank.alias("rank")).distinct().orderBy(F.desc("rank"), "finding_id")
+
+
+@query("SELECT DISTINCT department FROM documents WHERE department IS NOT NULL ORDER BY department")
+def departments(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "documents").filter(F.col("department").isNotNull()).select("department").distinct().orderBy("department")
+
+
+@query("SELECT s.id, count(d.doc_id) AS documents FROM document_sources s LEFT JOIN documents d ON d.document_source_id = s.id GROUP BY s.id")
+def documents_by_source(spark: SparkSession, root: str) -> DataFrame:
+    counts = table(spark, root, "documents").groupBy(F.col("document_source_id").alias("id")).agg(F.count("*").alias("documents"))
+    return table(spark, root, "document_sources").select("id").join(counts, "id", "left").na.fill({"documents": 0})
+
+
+@query("""SELECT d.doc_id FROM documents d WHERE d.is_active AND NOT EXISTS (SELECT 1 FROM segments s WHERE s.doc_id = d.doc_id) AND NOT EXISTS (SELECT 1 FROM ocr_pages o WHERE o.doc_id = d.doc_id)""")
+def documents_without_pages(spark: SparkSession, root: str) -> DataFrame:
+    d = table(spark, root, "documents").filter("is_active").select("doc_id")
+    return d.join(table(spark, root, "segments").select("doc_id"), "doc_id", "left_anti").join(table(spark, root, "ocr_pages").select("doc_id"), "doc_id", "left_anti")
+
+
+@query("SELECT id, last_scan_at + INTERVAL 8 HOUR AS last_scan_at FROM document_sources")
+def shifted_timestamps(spark: SparkSession, root: str) -> DataFrame:
+    return reports.shifted(table(spark, root, "document_sources").select("id", "last_scan_at"), ["last_scan_at"], 480)
+
+
+@query("""SELECT id, array_to_string(list_sort(list_transform(map_entries(configuration), lambda e: e.key || '=' || CASE WHEN contains(e.key, 'zone') THEN '[REDACTED]' ELSE e.value END)), ';') AS configuration FROM document_sources""")
+def redacted_configuration(spark: SparkSession, root: str) -> DataFrame:
+    entries = F.transform(F.map_entries(X.redact(F.col("configuration"), ["zone"])), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return table(spark, root, "document_sources").select("id", F.array_join(F.sort_array(entries), ";").alias("configuration"))
+
+
+@query(r"""WITH c AS (SELECT doc_id, nullif(trim(document_code), '') AS old, coalesce(nullif(trim(current_revision), ''), nullif(regexp_extract(file_name, '(?i)(?:^|[^A-Za-z0-9])Rev(?:ision)?\.?\s*([0-9]{1,4})(?:$|[^A-Za-z0-9_])', 1), '')) AS revision FROM documents)
+SELECT doc_id, old AS document_code, revision FROM c""")
+def metadata_fill(spark: SparkSession, root: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    return table(spark, root, "documents").select("doc_id", grading.fill(F.col("document_code"), none).alias("document_code"), grading.fill(F.col("current_revision"), X.revision(F.col("file_name"))).alias("revision"))
