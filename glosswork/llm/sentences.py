@@ -15,7 +15,7 @@ length is read whole; pieces without a letter or digit join nothing and are drop
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache, reduce
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from glosswork.llm.text_forms import one_to_one
 
 FILL, STOP, ASK, CRY, WIDE, CUT = "", "", "", "", "", ""
-#: up to a few invisible characters may stand anywhere
-_ = f"{FILL}{{0,4}}"
+#: up to a few invisible characters may stand anywhere, in texts that have any
+LOOSE = f"{FILL}{{0,4}}"
 
 # Abbreviations by language after which a sentence goes on whatever follows.
 ABBREVIATIONS = {
@@ -44,36 +44,36 @@ THAI = "\\x{0E00}-\\x{0E7F}"
 ENDS, WIDE_ENDS, CLOSERS = "[.!?]", "[。！？｡．]", "[\"”’»」』)）\\]】]"
 
 
-def _loose(word: str) -> str:
-    """Pattern of a word that fillers may interrupt."""
-    return _.join(f"(?:\\.|{STOP})" if c == "." else c for c in word)
+def _spelt(word: str, gap: str) -> str:
+    """Pattern of a word whose stops may be masked already and which `gap` may interrupt."""
+    return gap.join(f"(?:\\.|{STOP})" if c == "." else c for c in word)
 
 
-def _any(words: str) -> str:
-    return "|".join(_loose(w) for w in sorted(set(words.split()), key=lambda w: (-len(w), w)))
+def _any(words: str, gap: str) -> str:
+    return "|".join(_spelt(w, gap) for w in sorted(set(words.split()), key=lambda w: (-len(w), w)))
 
 
-@lru_cache(1)
-def _steps() -> list[tuple[str, str]]:
-    """(pattern, replacement) in order; every replacement keeps the length. $-groups stand for copied text."""
-    going_on = " ".join(ABBREVIATIONS.values())
-    dotted = [w for w in {*going_on.split(), *CLOSING.split()} if "." in w.rstrip(".")]
-    inner = []
-    for w in sorted(dotted, key=lambda w: (-len(w), w)):  # z.B. and z. B.: the stop inside
-        a, b = w.split(".", 1)
-        inner.append((f"(?<![\\p{{L}}\\d])({_loose(a)}{_})\\.({_} ?{_}{_loose(b)}{_}(?:\\.|{STOP}))" if b else "(?!)", f"$1{STOP}$2"))
+def _masks(gap: str) -> list[tuple[str, str]]:
+    """(pattern, replacement) in order; every replacement keeps the length. $-groups stand for copied text.
+
+    Word lists come behind a look-ahead for the stop that must follow, so they are tried at few places only.
+    """
+    _ = gap
+    longest = 12 if not gap else 40
+    near = f"(?<![\\p{{L}}\\d])(?=[^\\s.]{{1,{longest}}}\\.)"
     return [
         # a list mark that opens the segment, with a bracket or a stop
         (f"^([\\s{FILL}]*[(（]?{_}(?:\\d{{1,3}}|\\p{{L}}){_}(?:{STOP}?))\\.(?=[)）\\s{FILL}\\p{{L}}])", f"$1{STOP}"),
         # decimals, dates, clock times, versions, numbered sections
         (f"(\\d{_})\\.(?={_}\\d)", f"$1{STOP}"),
-        # URLs, file names and mail addresses: a stop between two letters of which the second is small
+        # URLs: a stop before a letter, digit or slash
         (f"((?:https?://|www\\.)[^\\s]{{0,200}}?)\\.(?=[\\p{{L}}\\d/])", f"$1{STOP}"),
         # ordinals before a month
-        (f"(\\d{{1,2}}{_})\\.(?={_} ?{_}(?:{_any(MONTHS)}))", f"$1{STOP}"),
-        *inner,
-        (f"(?<![\\p{{L}}\\d])((?:{_any(going_on)}){_})\\.(?=[\\s{FILL}]*[\\p{{L}}\\d\\p{{S}}(])", f"$1{STOP}"),
-        (f"(?<![\\p{{L}}\\d])((?:{_any(CLOSING)}){_})\\.(?=[\\s{FILL}]*[\\p{{Ll}}\\d,;])", f"$1{STOP}"),
+        (f"(\\d{{1,2}}{_})\\.(?={_} ?{_}(?:{_any(MONTHS, gap)}))", f"$1{STOP}"),
+        # two letters with a stop each, written together or apart: the stop inside
+        (f"(?<![\\p{{L}}\\d])(\\p{{Ll}}{_})\\.(?={_} ?{_}\\p{{L}}{_}\\.)", f"$1{STOP}"),
+        (f"{near}((?:{_any(' '.join(ABBREVIATIONS.values()), gap)}){_})\\.(?=[\\s{FILL}]*[\\p{{L}}\\d\\p{{S}}(])", f"$1{STOP}"),
+        (f"{near}((?:{_any(CLOSING, gap)}){_})\\.(?=[\\s{FILL}]*[\\p{{Ll}}\\d,;])", f"$1{STOP}"),
         # initials
         (f"(?<=[\\p{{L}},)] )(\\p{{Lu}}{_})\\.(?= {_}\\p{{Lu}}\\p{{Ll}})", f"$1{STOP}"),
         # dots in mid-sentence
@@ -97,7 +97,11 @@ def _shadow(text: Column) -> Column:
 
 
 def _mask(shadow: Column) -> Column:
-    out = reduce(lambda s, step: F.regexp_replace(s, *step), _steps(), shadow)
+    def masked(gap: str) -> Callable[[Column], Column]:
+        return lambda s: reduce(lambda x, step: F.regexp_replace(x, *step), _masks(gap), s)
+
+    filled, dotted = F.contains(shadow, F.lit(FILL)), F.contains(shadow, F.lit("."))
+    out = F.when(~dotted, shadow).when(filled, masked(LOOSE)(shadow)).otherwise(masked("")(shadow))
     marks = ".!?。！？｡．", STOP + ASK + CRY + WIDE * 5
 
     def quoted(s: Column, opening: str, closing: str) -> Column:
@@ -122,6 +126,7 @@ def _mask(shadow: Column) -> Column:
         out = let(out, either(opening, closing))
     out = let(out, lambda s: F.when(F.contains(s, F.lit('"')), straight(F.split(s, '"'))).otherwise(s))
     # A quotation with its own end mark that nothing but the next sentence follows ends there.
+    _ = LOOSE
     ends = f"([{STOP}{ASK}{CRY}{WIDE}]{_})([\"”」』]{_})"
     stands = f"(?=[\\s{FILL}]*$|[ ]{_}[(\"“]?{_}\\p{{Lu}}\\p{{Ll}}|\\n)"
     return F.regexp_replace(out, ends + stands, f"$1$2{CUT}")
@@ -129,6 +134,7 @@ def _mask(shadow: Column) -> Column:
 
 def _cuts(masked: Column) -> Column:
     """Cut marks after every sentence; newlines always part."""
+    _ = LOOSE
     steps = [
         (f"({WIDE_ENDS}(?:{_}(?:{WIDE_ENDS}|{ENDS}))*(?:{_}{CLOSERS})*{_}(?=[\\s{FILL}]|$)|{WIDE_ENDS}(?:{_}(?:{WIDE_ENDS}|{ENDS}))*(?:{_}{CLOSERS})*)", f"$1{CUT}"),
         (f"({ENDS}(?:{_}{ENDS})*(?:{_}{CLOSERS})*{_})(?=\\s|$)", f"$1{CUT}"),
@@ -142,8 +148,7 @@ def _cuts(masked: Column) -> Column:
 
 def spans(text: Column) -> Column:
     """array<struct<char_start:int,char_end:int>> of the sentences of `text`, 0-based code points, end exclusive."""
-    pieces = F.split(_cuts(_mask(_shadow(text))), CUT)
-    return _offsets(pieces)
+    return let(let(_shadow(text), _mask), lambda masked: _offsets(F.split(_cuts(masked), CUT)))
 
 
 def _offsets(pieces: Column) -> Column:
