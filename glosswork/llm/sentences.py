@@ -24,6 +24,7 @@ from glosswork.llm.text_forms import one_to_one
 
 FILL, STOP, ASK, CRY, WIDE, CUT = "", "", "", "", "", ""
 #: up to a few invisible characters may stand anywhere, in texts that have any
+BLANKS = " \t\n\r\x0b\x0c"
 LOOSE = f"{FILL}{{0,4}}"
 
 # Abbreviations by language after which a sentence goes on whatever follows.
@@ -56,26 +57,23 @@ def _any(words: str, gap: str) -> str:
 def _masks(gap: str) -> list[tuple[str, str]]:
     """(pattern, replacement) in order; every replacement keeps the length. $-groups stand for copied text.
 
-    Word lists come behind a look-ahead for the stop that must follow, so they are tried at few places only.
+    Patterns begin with the stop and look back, so nothing is tried anywhere else.
     """
     _ = gap
-    longest = 12 if not gap else 40
-    near = f"(?<![\\p{{L}}\\d])(?=[^\\s.]{{1,{longest}}}\\.)"
+    word = "(?<![\\p{L}\\d])"
     return [
         # a list mark that opens the segment, with a bracket or a stop
         (f"^([\\s{FILL}]*[(（]?{_}(?:\\d{{1,3}}|\\p{{L}}){_}(?:{STOP}?))\\.(?=[)）\\s{FILL}\\p{{L}}])", f"$1{STOP}"),
         # decimals, dates, clock times, versions, numbered sections
-        (f"(\\d{_})\\.(?={_}\\d)", f"$1{STOP}"),
-        # URLs: a stop before a letter, digit or slash
-        (f"((?:https?://|www\\.)[^\\s]{{0,200}}?)\\.(?=[\\p{{L}}\\d/])", f"$1{STOP}"),
+        (f"\\.(?<=\\d{_}\\.)(?={_}\\d)", STOP),
         # ordinals before a month
-        (f"(\\d{{1,2}}{_})\\.(?={_} ?{_}(?:{_any(MONTHS, gap)}))", f"$1{STOP}"),
+        (f"\\.(?<=\\d{_}\\.)(?={_} ?{_}(?:{_any(MONTHS, gap)}))", STOP),
         # two letters with a stop each, written together or apart: the stop inside
-        (f"(?<![\\p{{L}}\\d])(\\p{{Ll}}{_})\\.(?={_} ?{_}\\p{{L}}{_}\\.)", f"$1{STOP}"),
-        (f"{near}((?:{_any(' '.join(ABBREVIATIONS.values()), gap)}){_})\\.(?=[\\s{FILL}]*[\\p{{L}}\\d\\p{{S}}(])", f"$1{STOP}"),
-        (f"{near}((?:{_any(CLOSING, gap)}){_})\\.(?=[\\s{FILL}]*[\\p{{Ll}}\\d,;])", f"$1{STOP}"),
+        (f"\\.(?<={word}\\p{{Ll}}{_}\\.)(?={_} ?{_}\\p{{L}}{_}\\.)", STOP),
+        (f"\\.(?<={word}(?:{_any(' '.join(ABBREVIATIONS.values()), gap)}){_}\\.)(?=[\\s{FILL}]*[\\p{{L}}\\d\\p{{S}}(])", STOP),
+        (f"\\.(?<={word}(?:{_any(CLOSING, gap)}){_}\\.)(?=[\\s{FILL}]*[\\p{{Ll}}\\d,;])", STOP),
         # initials
-        (f"(?<=[\\p{{L}},)] )(\\p{{Lu}}{_})\\.(?= {_}\\p{{Lu}}\\p{{Ll}})", f"$1{STOP}"),
+        (f"\\.(?<=[\\p{{L}},)] \\p{{Lu}}{_}\\.)(?= {_}\\p{{Lu}}\\p{{Ll}})", STOP),
         # dots in mid-sentence
         (f"\\.(?={_}\\.)", STOP),
         (f"({STOP}{_})\\.(?=[\\s{FILL}]*(?:[\\p{{Ll}}\\d{CJK},;:]|{STOP}))", f"$1{STOP}"),
@@ -96,12 +94,11 @@ def _shadow(text: Column) -> Column:
     return F.translate(text, source, result + FILL * (len(source) - len(result)))
 
 
-def _mask(shadow: Column) -> Column:
-    def masked(gap: str) -> Callable[[Column], Column]:
-        return lambda s: reduce(lambda x, step: F.regexp_replace(x, *step), _masks(gap), s)
-
-    filled, dotted = F.contains(shadow, F.lit(FILL)), F.contains(shadow, F.lit("."))
-    out = F.when(~dotted, shadow).when(filled, masked(LOOSE)(shadow)).otherwise(masked("")(shadow))
+def _mask(shadow: Column, gap: str) -> Column:
+    # URLs: a stop before a letter, digit or slash
+    url = F.regexp_replace(shadow, f"((?:https?://|www\\.)[^\\s]{{0,200}}?)\\.(?=[\\p{{L}}\\d/])", f"$1{STOP}")
+    stops = reduce(lambda x, step: F.regexp_replace(x, *step), _masks(gap), F.when(F.contains(shadow, F.lit("://")) | F.contains(shadow, F.lit("www.")), url).otherwise(shadow))
+    out = F.when(F.contains(shadow, F.lit(".")), stops).otherwise(shadow)
     marks = ".!?。！？｡．", STOP + ASK + CRY + WIDE * 5
 
     def quoted(s: Column, opening: str, closing: str) -> Column:
@@ -126,15 +123,15 @@ def _mask(shadow: Column) -> Column:
         out = let(out, either(opening, closing))
     out = let(out, lambda s: F.when(F.contains(s, F.lit('"')), straight(F.split(s, '"'))).otherwise(s))
     # A quotation with its own end mark that nothing but the next sentence follows ends there.
-    _ = LOOSE
+    _ = gap
     ends = f"([{STOP}{ASK}{CRY}{WIDE}]{_})([\"”」』]{_})"
     stands = f"(?=[\\s{FILL}]*$|[ ]{_}[(\"“]?{_}\\p{{Lu}}\\p{{Ll}}|\\n)"
     return F.regexp_replace(out, ends + stands, f"$1$2{CUT}")
 
 
-def _cuts(masked: Column) -> Column:
+def _cuts(masked: Column, gap: str) -> Column:
     """Cut marks after every sentence; newlines always part."""
-    _ = LOOSE
+    _ = gap
     steps = [
         (f"({WIDE_ENDS}(?:{_}(?:{WIDE_ENDS}|{ENDS}))*(?:{_}{CLOSERS})*{_}(?=[\\s{FILL}]|$)|{WIDE_ENDS}(?:{_}(?:{WIDE_ENDS}|{ENDS}))*(?:{_}{CLOSERS})*)", f"$1{CUT}"),
         (f"({ENDS}(?:{_}{ENDS})*(?:{_}{CLOSERS})*{_})(?=\\s|$)", f"$1{CUT}"),
@@ -148,7 +145,11 @@ def _cuts(masked: Column) -> Column:
 
 def spans(text: Column) -> Column:
     """array<struct<char_start:int,char_end:int>> of the sentences of `text`, 0-based code points, end exclusive."""
-    return let(let(_shadow(text), _mask), lambda masked: _offsets(F.split(_cuts(masked), CUT)))
+    def cut(gap: str) -> Callable[[Column], Column]:
+        return lambda s: F.split(_cuts(_mask(s, gap), gap), CUT)
+
+    pieces = let(_shadow(text), lambda s: F.when(F.contains(s, F.lit(FILL)), cut(LOOSE)(s)).otherwise(cut("")(s)))
+    return let(pieces, _offsets)
 
 
 def _offsets(pieces: Column) -> Column:
@@ -156,8 +157,8 @@ def _offsets(pieces: Column) -> Column:
         pieces,
         lambda p: F.struct(
             F.length(p).alias("n"),
-            (F.length(p) - F.length(F.regexp_replace(p, r"^\s+", ""))).alias("head"),
-            (F.length(p) - F.length(F.regexp_replace(p, r"\s+$", ""))).alias("tail"),
+            (F.length(p) - F.length(F.ltrim(p, F.lit(BLANKS)))).alias("head"),
+            (F.length(p) - F.length(F.rtrim(p, F.lit(BLANKS)))).alias("tail"),
             p.rlike(r"[\p{L}\p{N}]").alias("said"),
         ),
     )
