@@ -12,36 +12,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glosswork.functions.text import han, is_cjk_other, letters, not_han, words
+from glosswork.session import cut_lineage
 
 LONG, FLOOR, GRAM = 12, 0.80, 3
 
 
-def grams(text: Column) -> Column:
-    """Trigrams of the letters of a text, small, with its words' borders."""
-    plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "), F.lit(" "))
-    n = F.length(plain) - GRAM + 1
-    return F.when(n >= 1, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(plain, i, F.lit(GRAM)))).otherwise(F.array().cast("array<string>"))
+def grams(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, gram, n: trigrams of the words of each row's text with their borders. Words are counted before they are cut up,
+    so a long text costs its distinct words."""
+    word = F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")
+    words_ = rows.select(*keys, word).filter("w <> ''").groupBy(*keys, "w").agg(F.count("*").alias("n"))
+    cut = F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.substring(F.concat(F.lit(" "), "w", F.lit(" ")), i, F.lit(GRAM)))
+    return words_.select(*keys, "n", F.explode(cut).alias("gram")).groupBy(*keys, "gram").agg(F.sum("n").alias("n"))
 
 
 def train(labelled: DataFrame, least: int = 2) -> DataFrame:
     """Model (gram, lang, logp) from rows lang, text; grams seen fewer than `least` times carry no weight of their own. Counts
     combine before their shuffle. The row of gram "" holds a language's log probability of an unseen gram."""
-    counts = labelled.select("lang", F.explode(grams(F.col("text"))).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n"))
-    counts = counts.filter(F.col("n") >= least)
+    counts = grams(labelled, ["lang"]).filter(F.col("n") >= least)
     total = counts.groupBy("lang").agg((F.sum("n") + F.count("*") + 1).alias("total"))
     seen = counts.join(total, "lang").select("gram", "lang", F.log((F.col("n") + 1) / F.col("total")).alias("logp"))
-    return seen.unionByName(total.select(F.lit("").alias("gram"), "lang", F.log(1 / F.col("total")).alias("logp")))
+    return cut_lineage(seen.unionByName(total.select(F.lit("").alias("gram"), "lang", F.log(1 / F.col("total")).alias("logp"))))
 
 
 def classify(texts: DataFrame, model: DataFrame, key: list[str]) -> DataFrame:
     """key, lang, confidence: the most probable language of each row's text (softmax over the model's languages), null under
     FLOOR. Texts become counts of grams before they meet the model, so the shuffle carries each gram once a text."""
-    own = texts.select(*key, F.explode(grams(F.col("text"))).alias("gram")).groupBy(*key, "gram").agg(F.count("*").alias("n"))
+    own = grams(texts, key)
     unseen = model.filter("gram = ''").select("lang", F.col("logp").alias("low"))
     gain = model.filter("gram <> ''").join(unseen, "lang").select("gram", "lang", (F.col("logp") - F.col("low")).alias("gain"))
     size = own.groupBy(*key).agg(F.sum("n").alias("size"))
     hits = own.join(gain, "gram").groupBy(*key, "lang").agg(F.sum(F.col("n") * F.col("gain")).alias("gain"))
-    every = size.join(F.broadcast(unseen))  # one row a language: the panel, not data
+    panel = F.array(*[F.struct(F.lit(r["lang"]).alias("lang"), F.lit(r["low"]).alias("low")) for r in unseen.orderBy("lang").collect()])  # one row a language
+    every = size.select(*key, "size", F.inline(panel))
     score = every.join(hits, [*key, "lang"], "left").withColumn("score", F.col("size") * F.col("low") + F.coalesce("gain", F.lit(0.0)))
     scope = Window.partitionBy(*key)
     prob = F.exp(F.col("score") - F.max("score").over(scope)) / F.sum(F.exp(F.col("score") - F.col("top"))).over(scope)
@@ -59,7 +62,7 @@ def tallies(segments: DataFrame, scope: list[str], model: DataFrame) -> DataFram
     alone = other.filter(F.col("n") >= LONG).select(*scope, F.col("seg_id").cast("string").alias("part"), "text", "n")
     ordered = F.array_sort(F.collect_list(F.struct("seg_index", "seg_id", "text")))
     pool = other.filter(F.col("n") < LONG).groupBy(*scope).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), " ").alias("text"), F.sum("n").alias("n"))
-    parts = alone.unionByName(pool.withColumn("part", F.lit("pool")).select(*scope, "part", "text", "n"))
+    parts = cut_lineage(alone.unionByName(pool.withColumn("part", F.lit("pool")).select(*scope, "part", "text", "n")))
     decided = parts.join(classify(parts, model, [*scope, "part"]), [*scope, "part"])
     latin = decided.groupBy(*scope, F.col("lang").alias("language")).agg(
         F.sum("n").alias("characters"), F.sum(F.size(words(F.col("text")))).cast("bigint").alias("words"),
