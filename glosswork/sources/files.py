@@ -37,7 +37,7 @@ def listing(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENS
     Temporary and hidden files are left out. `max_files` is the feature's cap on what one scan yields, in path order.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
-    base = F.lit(root.removeprefix("file:").rstrip("/") + "/")
+    base = root.removeprefix("file:").rstrip("/") + "/"
     relative = F.substring_index(F.col("path"), base, -1)
     rows = raw.select(
         relative.alias("relative_path"), F.substring_index("path", "/", -1).alias("file_name"), extension(F.col("path")).alias("extension"),
