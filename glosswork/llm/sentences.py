@@ -47,7 +47,7 @@ ENDS, WIDE_ENDS, CLOSERS = "[.!?]", "[。！？｡．]", "[\"”’»」』)）\
 
 def _spelt(word: str, gap: str) -> str:
     """Pattern of a word whose stops may be masked already and which `gap` may interrupt."""
-    return gap.join(f"(?:\\.|{STOP})" if c == "." else c for c in word)
+    return gap.join(f"(?:\\.|{STOP}) ?" if c == "." else c for c in word)
 
 
 def _any(words: str, gap: str) -> str:
