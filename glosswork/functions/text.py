@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -26,6 +27,11 @@ TYPE_HINTS = [
 ]
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def letters(text: Column) -> Column:
     """Only the alphabetic characters of a text."""
     return F.regexp_replace(text, r"[^\p{L}]", "")
