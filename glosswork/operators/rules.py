@@ -16,6 +16,7 @@ from glosswork.operators.attribution import dominant_script
 from glosswork.operators.furniture import content_segments, edge_lines
 from glosswork.operators.measurements import measurements, unmatched
 from glosswork.operators.sections import numbered, origins
+from glosswork.session import cut_lineage
 
 ORDER = ("en", "id", "zh")
 OPENING, HEAD, LEAST_TEXT = 15, 40, 25
@@ -113,8 +114,11 @@ def measured_languages(segments: DataFrame, language: Column) -> DataFrame:
 def numeric_mismatches(segments: DataFrame, language: Column | None = None) -> DataFrame:
     """doc_id, sequence, reference, language, missing: measurements of the language that has most of them (the first on
     ties) that another language of the section lacks."""
-    found = measured_languages(segments, language if language is not None else dominant_script(F.col("text")))
-    best = F.max_by(F.struct("language", "found"), F.struct(F.size("found"), F.reverse(F.col("language")))).alias("r")
+    # numbers only, read twice below
+    found = cut_lineage(measured_languages(segments, language if language is not None else dominant_script(F.col("text"))))
+    panel = F.array_position(F.array(*[F.lit(x) for x in ("en", "id", "latin", "zh")]), F.col("language"))
+    first = -F.when(panel > 0, panel).otherwise(99)
+    best = F.max_by(F.struct("language", "found"), F.struct(F.size("found"), first)).alias("r")
     reference = found.groupBy("doc_id", "sequence").agg(best).filter(F.size("r.found") > 0)
     pairs = found.join(reference, ["doc_id", "sequence"]).filter(F.col("language") != F.col("r.language"))
     lacks = pairs.withColumn("missing", unmatched(F.col("r.found"), F.col("found"))).filter(F.size("missing") > 0)
