@@ -52,12 +52,16 @@ BLOCKS = ((0x300, 0x36F), (0x1AB0, 0x1AFF), (0x1DC0, 0x1DFF), (0x20D0, 0x20FF),
 COMBINING = "".join(chr(c) for a, b in BLOCKS for c in range(a, b + 1))
 
 
+def _changing() -> list[str]:
+    """The code points that Unicode writes in another way too, and blanks; Hangul syllables are composed by NFC itself."""
+    return [c for c in map(chr, range(0x80, 0x30000)) if not "가" <= c <= "힣" and (unicodedata.decomposition(c) or unicodedata.category(c) == "Zs")]
+
+
 def _single_rules() -> dict[str, str]:
     """Code point -> text, for all code points that change by themselves."""
     rules = dict(LOOK_ALIKES) | dict.fromkeys(INVISIBLE, "") | dict.fromkeys(HYPHENS, "-")
-    for cp in range(0x80, 0x30000):
-        c = chr(cp)
-        if c in rules or 0xAC00 <= cp <= 0xD7A3:
+    for c in _changing():
+        if c in rules:
             continue
         kind, name = unicodedata.decomposition(c), unicodedata.name(c, "")
         if unicodedata.category(c) == "Zs":
@@ -92,10 +96,7 @@ def build_rules() -> dict[str, str]:
     twins: dict[str, list[str]] = {}
     for look, plain in LOOK_ALIKES.items():
         twins.setdefault(plain, []).append(look)
-    for cp in range(0x80, 0x30000):
-        c = chr(cp)
-        if 0xAC00 <= cp <= 0xD7A3:
-            continue
+    for c in dict.fromkeys([*_changing(), *single]):
         result = settle(unicodedata.normalize("NFD", c) if unicodedata.decomposition(c)[:1] not in ("", "<") else c)
         if result != c:
             add(c, result)
