@@ -44,6 +44,7 @@ def classify(texts: DataFrame, model: DataFrame, key: list[str]) -> DataFrame:
     size = own.groupBy(*key).agg(F.sum("n").alias("size"))
     hits = own.join(gain, "gram").groupBy(*key, "lang").agg(F.sum(F.col("n") * F.col("gain")).alias("gain"))
     panel = F.array(*[F.struct(F.lit(r["lang"]).alias("lang"), F.lit(r["low"]).alias("low")) for r in unseen.orderBy("lang").collect()])  # one row a language
+    panel = panel.cast("array<struct<lang:string,low:double>>")  # an untrained model has none, and decides nothing
     every = size.select(*key, "size", F.inline(panel))
     score = every.join(hits, [*key, "lang"], "left").withColumn("score", F.col("size") * F.col("low") + F.coalesce("gain", F.lit(0.0)))
     scope = Window.partitionBy(*key)
