@@ -1,12 +1,12 @@
 """Held-out evaluation passages inside the corpus (problem 7).
 
-Template canonicalisation. Items and documents become streams of tokens in one form (look-alikes, widths,
-case and punctuation folded); numbers, names and units become typed placeholders. Every window of the items'
-templates is hashed; every window of every document is looked up in that hash table (a hash join whose build
-side, the items, is bounded and goes to the workers in blocks of ITEMS_A_BLOCK, each block against all rows).
-Hits of one item on one diagonal show where an item's sentences stand in a document. The template may fit a
-question with other values just as well, so a last step checks the slots: two consecutive sentences must be
-there token by token, with the same numbers, names and units, but for a few words or characters lost or doubled.
+Items and documents become streams of tokens in one form (look-alikes, widths, case, punctuation and the notation of
+numbers folded). Every window of the items' sentences is hashed; every window of every document is looked up in that
+hash table (a hash join whose build side, the items, is bounded and goes to the workers in blocks of ITEMS_A_BLOCK,
+each block against all rows). Of two sentences with EDITS_TOGETHER edits one has at most one, so hits of one sentence
+show where both may stand: its windows are short enough to be left by one edit anywhere in it, and no more hits are
+asked for than that edit leaves. A last step checks both sentences: they must be there token by token, with the same
+numbers, names and units, but for a few words or characters lost or doubled.
 
 No shuffle but the final distinct; a document is read whole, whatever its length.
 
@@ -17,6 +17,7 @@ documents delivered twice give one row; an item that stands in a document severa
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -28,10 +29,12 @@ from pyspark.sql import functions as F
 from glosswork.llm.sentences import sentence_rows
 from glosswork.llm.text_forms import transducer
 
-#: template tokens of a window, for scripts with blanks and without
+#: tokens of a window at most, for scripts with blanks and without
 WINDOW, WINDOW_EAST = 5, 8
-#: part of a sentence's windows that must be hit on the diagonal for it to be checked
+#: part of a sentence's windows that is hit where it stands, or fewer if one edit may leave fewer
 HIT = 0.25
+#: tokens that one edit takes at most in scripts without blanks
+RUN = 4
 #: words or characters lost or doubled that a sentence may have, and the two together
 EDITS, EDITS_TOGETHER = 2, 3
 ITEMS_A_BLOCK = 5000
@@ -42,8 +45,6 @@ TOKEN = re.compile(
 )
 HYPHEN = re.compile(r"(?<=[a-z])(?:-|[-¬]\s*\n\s*)(?=[a-z])")
 GROUPED = re.compile(r"[0-9]{1,3}(?:[.,][0-9]{3})+")
-UNITS = frozenset("kg g mg µg t l ml bar mbar pa kpa mpa rpm hz khz w kw v a m cm mm µm nm km h min s n ppm c f ph persen percent".split())
-NUMBER, NAME, UNIT = 1, 2, 3
 
 
 def number(token: str) -> str:
@@ -119,8 +120,24 @@ def _edits(a: list[str], b: list[str], at: int, budget: int) -> list[tuple[int,
     return list(out.items())
 
 
+def _east(sentence: list[str]) -> bool:
+    return any("⺀" < x[0] for x in sentence)
+
+
+def _whole(sentence: list[str], edits: int) -> int:
+    """Length of the longest stretch of a sentence that so many edits always leave whole."""
+    left = len(sentence) - edits * (RUN if _east(sentence) else 1)
+    return max(0, -(-left // (edits + 1)))
+
+
+def _window(parts: list[list[str]], s: int) -> int:
+    """Window of sentence s. A neighbour that one edit can take as a whole has no window then, so s may have two edits."""
+    short = any(not _whole(p, 1) for p in parts[max(0, s - 1) : s] + parts[s + 1 : s + 2])
+    return max(1, min(WINDOW_EAST if _east(parts[s]) else WINDOW, _whole(parts[s], 2 if short else 1)))
+
+
 class Items:
-    """A block of items: their template windows as a hash table with postings."""
+    """A block of items: the windows of their sentences as a hash table with postings."""
 
     def __init__(self, sentences: pd.DataFrame):
         """sentences: item_id, char_start, sentence."""
@@ -128,13 +145,7 @@ class Items:
         self.item: list[int] = []
         self.sentences: list[list[list[str]]] = []
         self.starts: list[list[int]] = []
-        words: dict[str, list[int]] = {}
-        for _, g in sentences.sort_values(["item_id", "char_start"]).groupby("item_id"):
-            for s in g["sentence"]:
-                for k, w in enumerate(re.findall(r"[^\W\d_]+", transducer().apply(s))):
-                    words.setdefault(w.casefold(), []).append(int(w[0].isupper() and w[1:].islower()) if k else -1)
-        # a name is never written small, and stands with a capital inside sentences
-        self.names = {w for w, seen in words.items() if 1 in seen and 0 not in seen}
+        self.lengths: set[int] = set()
         hashes: list[tuple[int, int, int]] = []
         for item_id, g in sentences.sort_values(["item_id", "char_start"]).groupby("item_id"):
             parts = [t for t in map(tokens, g["sentence"]) if t]
@@ -144,8 +155,19 @@ class Items:
             self.sentences.append(parts)
             self.starts.append(np.cumsum([0, *map(len, parts)]).tolist())
             ids = np.array([self.number_of(w, True) for w in flat], dtype=np.int64)
-            w = WINDOW_EAST if sum("⺀" < x[0] for x in flat) * 2 > len(flat) else WINDOW
-            hashes += [(int(h), no, q) for q, h in enumerate(_hashes(ids, w))]
+            for k, p in enumerate(parts):
+                w, first = _window(parts, k), self.starts[-1][k]
+                self.lengths.add(w)
+                hashes += [(int(h), no, first + q) for q, h in enumerate(_hashes(ids[first : first + len(p)], w))]
+        # of each two sentences: values, words with the rarest first, and how many of the words edits may take
+        usual = Counter(t for parts in self.sentences for p in parts for t in p)
+        self.asked: list[list[tuple[list[str], list[str], int]]] = []
+        for parts in self.sentences:
+            both = [a + b for a, b in zip(parts, parts[1:])]
+            self.asked.append([
+                ([number(t) for t in p if t[0].isdigit()], sorted((t for t in p if not t[0].isdigit()), key=lambda t: usual[t]), EDITS_TOGETHER * (RUN if _east(p) else 1))
+                for p in both
+            ])
         table = pd.DataFrame(hashes, columns=["h", "item", "q"])
         table["h"] = table["h"].astype(np.uint64)
         table = table.sort_values("h", kind="stable")
@@ -155,30 +177,26 @@ class Items:
         width = max([len(p) for p in self.sentences], default=0) + 1
         self.width = width
         self.sentence_of = [np.repeat(np.arange(len(p)), [len(x) for x in p]) for p in self.sentences]
-        longest = max([s[-1] for s in self.starts], default=0) + 1
-        self.sent = np.zeros((len(self.item), longest), np.int64)
-        self.need = np.full((len(self.item), width), 10**6, np.int64)
+        self.longest = max([s[-1] for s in self.starts], default=0) + 1
+        self.sent = np.zeros((len(self.item), self.longest), np.int64)
+        self.need = np.ones((len(self.item), width), np.int64)
         for no, parts in enumerate(self.sentences):
             self.sent[no, : len(self.sentence_of[no])] = self.sentence_of[no]
-            east = sum("⺀" < x[0] for p in parts for x in p) * 2 > sum(map(len, parts))
-            for s, p in enumerate(parts):
-                self.need[no, s] = max(1, int(HIT * (len(p) - (WINDOW_EAST if east else WINDOW) + 1)))
+            for k, p in enumerate(parts):
+                w = _window(parts, k)
+                n = len(p) - w + 1
+                self.need[no, k] = max(1, min(int(HIT * n), n - w - (RUN - 1 if _east(p) else 0)))
 
     def number_of(self, token: str, add: bool = False) -> int:
         if token[0].isdigit():
-            return NUMBER
-        if token in UNITS:
-            return UNIT
-        if token in self.names:
-            return NAME
-        if add:
-            return self.vocabulary.setdefault(token, len(self.vocabulary) + 10)
-        return self.vocabulary.get(token, 0)
-
-    def candidates(self, ids: np.ndarray) -> set[tuple[int, int, int]]:
-        """(item, sentence, diagonal) where this sentence and the next have enough windows on about one diagonal."""
+            token = number(token)
+        return self.vocabulary.setdefault(token, len(self.vocabulary) + 1) if add else self.vocabulary.get(token, 0)
+
+    def candidates(self, ids: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(document, item, sentence, diagonal) where a window of the sentence stands, on about this diagonal. ends: where
+        the documents end."""
         found = []
-        for w in (WINDOW, WINDOW_EAST):
+        for w in sorted(self.lengths):
             h = _hashes(ids, w)
             if not len(h):
                 continue
@@ -190,26 +208,38 @@ class Items:
             row = np.repeat(self.first[k] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
             found.append((np.repeat(p, n), self.post_item[row], self.post_q[row]))
         if not found:
-            return set()
+            return []
         p, item, q = (np.concatenate(x) for x in zip(*found))
-        diagonal, s, out = p - q + 1000, self.sent[item, q], set()
+        no, s, out = np.searchsorted(ends, p), self.sent[item, q], set()
         for phase in (0, 4):
-            key = ((diagonal + phase) // 8 * len(self.item) + item) * self.width + s
-            own, times = np.unique(key, return_counts=True)
-            enough = times >= self.need[own // self.width % len(self.item), own % self.width]
-            own = own[enough]
-            both = own[:-1][own[1:] == own[:-1] + 1] if len(own) > 1 else own[:0]
-            for x in both.tolist():
-                s_, rest = x % self.width, x // self.width
-                out.add((rest % len(self.item), s_, rest // len(self.item) * 8 - phase - 1000))
-        return out
+            own, times = np.unique((((p - q + self.longest + phase) // 8 * (len(ends) + 1) + no) * len(self.item) + item) * self.width + s, return_counts=True)
+            rest, sentence = np.divmod(own, self.width)
+            rest, its = np.divmod(rest, len(self.item))
+            diagonal, doc = np.divmod(rest, len(ends) + 1)
+            k = np.flatnonzero(times >= self.need[its, sentence])
+            for d, i, j, at in zip(doc[k].tolist(), its[k].tolist(), sentence[k].tolist(), (diagonal[k] * 8 - phase - self.longest).tolist()):
+                if not phase or ((d, i, j, at - 4) not in out and (d, i, j, at + 4) not in out):
+                    out.add((d, i, j, at))
+        return sorted(out)
+
+    def may_stand(self, item: int, s: int, text: str) -> bool:
+        """All values of sentences s and s + 1 are in the text (tokens in a row), and all but so many words as edits may take."""
+        values, words, spare = self.asked[item][s]
+        if not all([v in text for v in values]):
+            return False
+        for w in words:
+            if w not in text:
+                spare -= 1
+                if spare < 0:
+                    return False
+        return True
 
     def stands(self, item: int, s: int, diagonal: int, doc: list[str]) -> bool:
         """Sentences s and s + 1 of the item stand together in the document about where the diagonal says."""
         parts, at = self.sentences[item], diagonal + self.starts[item][s]
-        if s + 1 >= len(parts):
-            return False
-        for start in range(max(0, at - 6), min(len(doc), at + 15)):
+        # a diagonal stands for eight and four more on both sides; list marks and edits of both sentences move the start
+        reach = 4 + 4 * RUN if _east(parts[s] + parts[s + 1]) else 12
+        for start in range(max(0, at - reach), min(len(doc), at + 8 + reach)):
             for end, first in _edits(parts[s], doc, start, EDITS):
                 skip = end  # a list mark may stand between them
                 while skip < len(doc) and skip < end + 2 and not _eq(parts[s + 1][0], doc[skip]) and (doc[skip][0].isdigit() or len(doc[skip]) == 1):
@@ -249,17 +279,19 @@ def _search(items: Items, keys: np.ndarray, texts: list[str]) -> Iterator[tuple[
         get, known = items.number_of, {"\x02": 0}
         ids = np.array([known[t] if t in known else known.setdefault(t, get(t)) for t in stream], dtype=np.int64)
         ends = np.array([k for k, t in enumerate(stream) if t == "\x02"], dtype=np.int64)
+        plain = [number(t) if t[0].isdigit() else t for t in stream]
         seen: set[tuple[int, int]] = set()
-        for item, s, diagonal in sorted(items.candidates(ids)):
-            no = int(np.searchsorted(ends, diagonal + items.starts[item][s] + 4))
-            for k in {no, int(np.searchsorted(ends, diagonal + items.starts[item][s] + 12))}:
-                lo, hi = (int(ends[k - 1]) + 1 if k else 0), (int(ends[k]) if k < len(ends) else len(stream))
-                if (k, item) in seen:
+        for no, item, seed, diagonal in items.candidates(ids, ends):
+            lo, hi = (int(ends[no - 1]) + 1 if no else 0), (int(ends[no]) if no < len(ends) else len(stream))
+            for s in (seed - 1, seed):
+                if (no, item) in seen or s < 0 or s + 1 >= len(items.sentences[item]):
+                    continue
+                around = max(lo, diagonal + items.starts[item][s] - 24), min(hi, diagonal + items.starts[item][s + 2] + 44)
+                if around[0] >= around[1] or not items.may_stand(item, s, "".join(plain[around[0] : around[1]])):
                     continue
-                around = max(lo, diagonal + items.starts[item][s] - 20), min(hi, diagonal + items.starts[item][s + 2] + 40)
-                if around[0] < around[1] and items.stands(item, s, diagonal - around[0], stream[around[0] : around[1]]):
-                    seen.add((k, item))
-                    yield int(keys[a + k]), items.item[item]
+                if items.stands(item, s, diagonal - around[0], stream[around[0] : around[1]]):
+                    seen.add((no, item))
+                    yield int(keys[a + no]), items.item[item]
 
 
 def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:

@@ -59,6 +59,24 @@ def test_leaks(spark, documents, text, hit):
     assert [tuple(r) for r in got.collect()] == ([(1, 7)] if hit else [])
 
 
+CLEAN = "The operator shall clean the cabinet with rinse water daily."
+
+
+@pytest.mark.parametrize(
+    ("first", "second", "written", "hit"),
+    [
+        (CLEAN, "Samples of paste are always taken at noon.", "Samples of paste are alwys taken at noon.", True),
+        ("操作人员应当用纯化水清洗设备表面并记录。", "每批样品取样后送检验室保存备查。", "每批样品取样送检验室保存备查。", True),
+        (CLEAN, "Then stop.", "Then stop.", True),
+        (CLEAN, "Samples of paste are always taken at noon.", "Samples of soap are never taken in rain.", False),
+    ],
+)
+def test_leaks_of_two_short_sentences(spark, documents, first, second, written, hit):
+    items = spark.createDataFrame([(7, f"{first} {second}")], "item_id bigint, text string")
+    got = leaks.leaked(documents([(1, f"{first} {written} Other things follow here.", "en", "a")]), items)
+    assert [tuple(r) for r in got.collect()] == ([(1, 7)] if hit else [])
+
+
 def test_leaks_in_blocks(spark, documents, monkeypatch):
     monkeypatch.setattr(leaks, "ITEMS_A_BLOCK", 1)
     items = spark.createDataFrame([(7, ITEM), (8, ITEM)], "item_id bigint, text string")
