@@ -9,8 +9,8 @@ features and transitions, repeat) on a bounded sample of documents.
 
 Body lines are joined over furniture, blank lines' paragraphs and page ends. A word divided at a line's end is
 joined if the joined form is more usual in the corpus than the hyphenated one; a word is misread if exchanging
-look-alike strokes (rn-m, cl-d, 1-l ...) gives one at least RATIO times as usual. Words are compared with counts
-over all documents by joins; no vocabulary is collected.
+look-alike strokes (rn-m, cl-d, 1-l ...), however many, gives one at least RATIO times as usual. Words are compared with
+counts over all documents by joins, with those that fold to the same strokes; no vocabulary is collected.
 
 Edge cases: null or empty pages have no lines with a defect; pages delivered twice count once; a missing page
 ends the text, so nothing is joined over it; documents are labelled in blocks of BLOCK_PAGES pages.
@@ -26,7 +26,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -49,6 +49,7 @@ STROKES = [
     ("d", "cl"), ("rn", "m"), ("m", "rn"), ("b", "h"), ("h", "b"), ("lc", "k"), ("k", "lc"), ("h", "li"), ("li", "h"), ("vv", "w"),
     ("w", "vv"), ("nn", "m"), ("m", "nn"), ("q", "g"), ("y", "v"),
 ]
+BY_FIRST = {c: [s for s in STROKES if s[0][0] == c] for c in {s[0][0] for s in STROKES}}
 # Letters read for digits.
 DIGITS = [("O", "0"), ("o", "0"), ("Q", "0"), ("D", "0"), ("l", "1"), ("I", "1"), ("i", "1"), ("|", "1"), ("!", "1"), ("Z", "2"), ("S", "5"), ("s", "5"), ("B", "8"), ("g", "9"), ("q", "9")]
 # Han characters of like shape, the one read and the one printed.
@@ -120,7 +121,8 @@ def vocabulary(documents: DataFrame) -> DataFrame:
 
 
 def corrections(word: str) -> list[str]:
-    """Forms of a word with one or two strokes exchanged."""
+    """Forms of a word that need no vocabulary: Han characters, digits, one or two strokes exchanged in a word of at most 40
+    characters. `stroke_key` and `reads_as` find those with more strokes, and longer words."""
     if len(word) == 3 and HAN_RUN.match(word[1]):
         return [word[0] + HAN[word[1]] + word[2]] if word[1] in HAN else []
     if len(word) > 40:
@@ -132,7 +134,7 @@ def corrections(word: str) -> list[str]:
         whole = "".join(swap.get(c, c) for c in word)
         if whole.isdigit() and whole != word:
             out.add(whole)
-    sites = [(m.start(), a, b) for a, b in STROKES for m in re.finditer(re.escape(a), plain)]
+    sites = [(m.start(), a, b) for a, b in STROKES for m in re.finditer(f"(?={re.escape(a)})", plain)]
     odd = [s for s in sites if not s[1].isalpha()]  # marks and digits in a word are never right by themselves
     for one in sites:
         out.add(plain[: one[0]] + one[2] + plain[one[0] + len(one[1]) :])
@@ -145,6 +147,36 @@ def corrections(word: str) -> list[str]:
     return sorted(out - {plain})
 
 
+def stroke_key(word: Column) -> Column:
+    """The strokes of a word: the same for all words that exchanging any number of STROKES makes of one another."""
+    key = F.translate(F.lower(word), "e@!1|lf05$9qy", "caiiiitossggv")
+    for letters, strokes in (("[68bhu]", "ii"), ("d", "ci"), ("k", "ic"), ("w", "vv"), ("m", "rri"), ("n", "ri")):
+        key = F.regexp_replace(key, letters, strokes)
+    return F.regexp_replace(key, "(?<=r)i(?=r+i)", "")  # m is rn as well as nn
+
+
+def reads_as(word: str, form: str) -> bool:
+    """The form is the word with strokes exchanged at places that do not overlap."""
+    word, seen, stack = word.lower(), {(0, 0)}, [(0, 0)]
+    if word == form:
+        return False
+    while stack:
+        i, j = stack.pop()
+        if i == len(word) and j == len(form):
+            return True
+        ways = [(i + len(a), j + len(b)) for a, b in BY_FIRST.get(word[i : i + 1], ()) if word.startswith(a, i) and form.startswith(b, j)]
+        if i < len(word) and j < len(form) and word[i] == form[j]:
+            ways.append((i + 1, j + 1))
+        stack += [x for x in ways if x not in seen]
+        seen.update(ways)
+    return False
+
+
+@pandas_udf(T.BooleanType())
+def reads_as_forms(words: pd.Series, forms: pd.Series) -> pd.Series:
+    return pd.Series([reads_as(w, f) for w, f in zip(words, forms)], dtype=bool)
+
+
 @pandas_udf(T.ArrayType(T.StringType()))
 def correction_forms(words: pd.Series) -> pd.Series:
     return words.map(corrections)
@@ -380,7 +412,13 @@ def _judged(words: DataFrame, counts: DataFrame) -> DataFrame:
     """word (as read), n, best, n_best: its count, and the most usual corrected form."""
     known = words.join(counts.withColumnRenamed("word", "w"), F.lower("word") == F.col("w"), "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
     forms = known.select("word", "n", F.explode(correction_forms("word")).alias("form"))
-    good = forms.join(counts.select(F.col("word").alias("form"), F.col("n").alias("n_form")), "form")
+    good = forms.join(counts.select(F.col("word").alias("form"), F.col("n").alias("n_form")), "form").select("word", "form", "n_form")
+    # only a form that is usual enough to matter is read stroke by stroke; digits alone are a number
+    latin = F.col("word").rlike("[A-Za-z]")
+    keyed = counts.filter(latin & (F.col("n") >= RATIO)).select(stroke_key(F.col("word")).alias("key"), F.col("word").alias("form"), F.col("n").alias("n_form"))
+    near = known.filter(latin | F.col("word").rlike("[@!|$]")).withColumn("key", stroke_key(F.col("word"))).join(keyed, "key")
+    near = near.filter((F.col("n_form") >= RATIO * F.greatest("n", F.lit(1))) & (F.lower("word") != F.col("form")))
+    good = good.unionByName(near.filter(reads_as_forms("word", "form")).select("word", "form", "n_form"))
     best = good.groupBy("word").agg(F.max_by("form", F.struct("n_form", "form")).alias("best"), F.max("n_form").alias("n_best"))
     return known.join(best, "word", "left").na.fill({"n_best": 0})
 

@@ -147,6 +147,16 @@ def test_corrections_undo_strokes():
             assert word in scans.corrections(wrong)
 
 
+def test_corrections_of_overlapping_and_many_strokes(spark):
+    for word, wrong in (("natrium", "natriiim"), ("sodium", "sodiiim"), ("laboratorium", "laboratoriiim")):
+        assert word in scans.corrections(wrong)
+    long = "pneumonoultramicroscopicsilicovolcanoconiosis"
+    words = [("natriiim", "natrium"), ("sarnpelrnerkrnal", "sampelmerkmal"), ("annnn", "amm"), (long.replace("m", "rn"), long), ("cllvvfo", "cllwto"), ("water", None)]
+    counts = spark.createDataFrame([(w, 50) for _, w in words if w] + [("water", 50), ("natrum", 50)], "word string, n bigint")
+    got = {r.word: r.best for r in scans._judged(spark.createDataFrame([(x,) for x, _ in words], "word string"), counts).collect()}
+    assert got == dict(words)
+
+
 def test_translations(spark, documents, segments):
     rng = random.Random(3)
     things = [("pump", "pompa", "水泵"), ("oven", "tungku", "烤箱"), ("scale", "timbangan", "地磅"), ("valve", "katup", "阀门"), ("tower", "menara", "冷却塔"), ("silo", "gudang", "料仓")]
