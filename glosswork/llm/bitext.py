@@ -40,7 +40,8 @@ ROUNDS = 6
 LEARNING = (0.22, 0.32)
 #: likeness that a pair needs in its place, and out of order; probability at which a feature counts as explained
 IN_ORDER, OUT_OF_ORDER, EXPLAINED = 0.42, 0.5, 0.08
-#: sentences with the same numbers up to which all are compared; beyond, those that share a translated feature
+#: sentences with the same numbers up to which all are compared; beyond, those of which one explains a feature of the other:
+#: all that have a likeness at all
 FEW = 40
 #: letters that make a sentence of another language in a segment
 MIXED = 10
@@ -247,6 +248,17 @@ def align(lexicon: Lexicon, a: str, b: str, left: list[str], right: list[str], i
             for j in js:
                 for f in y.words[j]:
                     index[key][f].append(j)
+    reached: dict[int, set[int]] = defaultdict(set)  # sentence of x: those of a large group that explain a feature of it
+    own: dict[tuple, dict[str, list[int]]] = {key: defaultdict(list) for key in index}
+    for i, anchors in enumerate(x.anchors):
+        if (key := numbers(anchors)) in own:
+            for f in x.words[i]:
+                own[key][f].append(i)
+    for key, places in own.items():
+        if places:
+            for j in by_numbers[key]:
+                for i in {i for g in y.explains(j) for i in places.get(g, ())}:
+                    reached[i].add(j)
     cands: dict[tuple[int, int], float] = {}
     for i, anchors in enumerate(x.anchors):
         key = numbers(anchors)
@@ -255,7 +267,7 @@ def align(lexicon: Lexicon, a: str, b: str, left: list[str], right: list[str], i
             continue
         explains = x.explains(i)
         if key in index:
-            js = {j for g in explains for j in index[key].get(g, ())}
+            js = {j for g in explains for j in index[key].get(g, ())} | reached.get(i, set())
         for j in js:
             s = y.covered(j, explains)
             if s >= in_order * 2 - 1:

@@ -189,6 +189,15 @@ def test_translations(spark, documents, segments):
     assert bitext.translations(segs.limit(0), docs).count() == 0
 
 
+@pytest.mark.parametrize("n", [5, 60])
+def test_pairs_do_not_depend_on_the_size_of_a_document(n):
+    names = [f"{a}{b}" for a in "bcdfghklmn" for b in ("ax", "ex", "ix", "ox", "ux", "yx")][:n]
+    left, right = [f"{x} {x}q" for x in names], [f"{x}w {x}z" for x in names]
+    only = {f"{x}{e}": {f"{x}{d}": 1.0} for x in names for e, d in (("w", ""), ("z", "q"))}  # the other side's table alone
+    lexicon = bitext.Lexicon({("en", "id"): {}, ("id", "en"): only})
+    assert sorted(bitext.align(lexicon, "en", "id", left, right)) == [(k, k) for k in range(n)]
+
+
 def test_chain_and_gap():
     assert bitext.increasing([(0, 0), (1, 5), (2, 1), (3, 2), (4, 9)]) == [(0, 0), (2, 1), (3, 2), (4, 9)]
     assert sorted(bitext._gap([(0, 0, 0.5), (0, 1, 0.9), (1, 0, 0.6), (1, 1, 0.3), (2, 2, 0.4)])) == [(0, 1), (2, 2)]
