@@ -17,16 +17,18 @@ def budgeted(segments: DataFrame, budget: int = 400_000) -> DataFrame:
     cost = F.length(F.coalesce("text", F.lit("")))
     spent = F.coalesce(F.sum(cost).over(doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = segments.withColumn("spent", spent)
-    over = F.max(F.col("spent") >= budget).over(Window.partitionBy("doc_id"))
+    more = (F.col("spent") >= budget) & (F.trim(F.coalesce("text", F.lit(""))) != "")
+    over = F.max(more).over(Window.partitionBy("doc_id"))
     return rows.withColumn("truncated", over).filter(F.col("spent") < budget).drop("spent")
 
 
 def aligned_blocks(segments: DataFrame, budget: int = 400_000, language=None) -> DataFrame:  # noqa: ANN001
-    """doc_id, sequence, language (unassigned where none dominates), segments, characters, texts: whole segments in their order."""
+    """doc_id, sequence, language (unassigned where none dominates), segments, characters, texts: whole segments in their order;
+    truncated: whether the document had more than the budget."""
     lang = language if language is not None else dominant_script(F.col("text"))
     rows = numbered(budgeted(segments, budget)).filter(F.trim(F.coalesce("text", F.lit(""))) != "")
     rows = rows.withColumn("language", F.coalesce(lang, F.lit("unassigned")))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("seg_index", "seg_id", "text"))), lambda x: x["text"])
     return rows.groupBy("doc_id", "sequence", "language").agg(
-        F.count("*").alias("segments"), F.sum(F.length(letters(F.col("text")))).alias("characters"), ordered.alias("texts")
+        F.count("*").alias("segments"), F.sum(F.length(letters(F.col("text")))).alias("characters"), ordered.alias("texts"), F.max("truncated").alias("truncated")
     )

@@ -71,6 +71,12 @@ def test_alignment_keeps_every_segment_once(spark, segments):
     assert alignment.budgeted(rows, 10).count() == 1
 
 
+def test_aligned_blocks_say_that_a_document_had_more(segments):
+    rows = segments([(d, text, "paragraph", 1, None) for d, texts in ((1, ["Eight ch", "More text."]), (2, ["Short."]), (3, ["Eight ch", None, " "])) for text in texts])
+    got = {(r.doc_id, r.truncated) for r in alignment.aligned_blocks(rows, 8).collect()}
+    assert got == {(1, True), (2, False), (3, False)}
+
+
 def test_rules(spark, segments):
     rows = segments([(1, "SOP-QA-001 Rev. 02", "header", None, None), (1, "Storage of materials", "heading", None, "Storage"), (1, "Keep 5 cm and 6,500 mg free.", "paragraph", None, "Storage"), (1, "至少保留 5 厘米 空间。", "paragraph", None, "Storage")], ["FF0000"])
     got = {r.rule: r for r in rules.run(rows).collect()}
