@@ -23,7 +23,7 @@ def p1_same_form(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
-    return bitext.translations(table(spark, root, "segments"), table(spark, root, "documents"))
+    return bitext.translations(*(table(spark, root, n) for n in ("segments", "documents", "document_sections")))
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:

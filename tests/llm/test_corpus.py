@@ -157,7 +157,7 @@ def test_corrections_of_overlapping_and_many_strokes(spark):
     assert got == dict(words)
 
 
-def test_translations(spark, documents, segments):
+def test_translations(spark, documents, segments, monkeypatch):
     rng = random.Random(3)
     things = [("pump", "pompa", "水泵"), ("oven", "tungku", "烤箱"), ("scale", "timbangan", "地磅"), ("valve", "katup", "阀门"), ("tower", "menara", "冷却塔"), ("silo", "gudang", "料仓")]
     rows, want, n = [], set(), 0
@@ -185,8 +185,12 @@ def test_translations(spark, documents, segments):
     got = set(map(tuple, bitext.translations(segs.union(segs), docs).collect()))
     hit = len(got & want)
     # a lexicon of thirty documents only; what is found must be right
-    assert hit / len(got) > 0.95 and hit / len(want) > 0.7
+    assert hit / len(got) > 0.95 and hit / len(want) > 0.9
     assert bitext.translations(segs.limit(0), docs).count() == 0
+    # section reports may name a section in any way; a lexicon that is joined gives what one at the workers gives
+    names = spark.createDataFrame([(0, "Tujuan / Purpose", 1), (0, None, 2), (77, "", 1)], "doc_id bigint, name string, sequence int")
+    monkeypatch.setattr(bitext.aligned, "__defaults__", (0,))
+    assert set(map(tuple, bitext.translations(segs.union(segs), docs, names).collect())) == got
 
 
 @pytest.mark.parametrize("n", [5, 60])
@@ -198,6 +202,34 @@ def test_pairs_do_not_depend_on_the_size_of_a_document(n):
     assert sorted(bitext.align(lexicon, "en", "id", left, right)) == [(k, k) for k in range(n)]
 
 
+WORDS = {"pump": "pompa", "oven": "tungku", "closed": "ditutup", "crew": "regu", "night": "malam", "valve": "katup", "checks": "memeriksa", "sand": "pasir"}
+SMALL = bitext.Lexicon({("en", "id"): {a: {b: 1.0} for a, b in WORDS.items()}, ("id", "en"): {b: {a: 1.0} for a, b in WORDS.items()}})
+
+
+@pytest.mark.parametrize(
+    ("left", "right", "pairs"),
+    [
+        (["pump closed 5 night"], ["pompa ditutup malam"], [(0, 0)]),  # a number left out
+        (["pump closed 5 night"], ["pompa ditutup 6 malam"], []),  # another number
+        (["pump closed 5 night 8"], ["pompa ditutup 5 malam"], [(0, 0)]),
+        (["crew checks sand", "valve oven closed pump night"], ["regu memeriksa pasir", "katup tungku", "ditutup pompa malam"], [(0, 0), (1, 1), (1, 2)]),  # one sentence for two
+        (["valve oven", "closed pump night"], ["katup tungku ditutup pompa malam"], [(0, 0), (1, 0)]),
+        (["crew checks sand", "pump closed"], ["pompa ditutup", "regu memeriksa pasir"], [(0, 1), (1, 0)]),  # another order
+        ([], ["pompa"], []), ([""], [""], []),
+    ],
+)
+def test_pairs_of_sentences(left, right, pairs):
+    assert sorted(bitext.align(SMALL, "en", "id", left, right)) == pairs
+
+
+def test_names_and_cognates_vote():
+    x, y = bitext.side("en", ["The laboratory of Orbalin is open.", "The laboratory is open to Merrow."]), bitext.side("id", ["Untuk Merrow buka.", "Milik Orbalin juga."])
+    assert sorted(bitext.votes(x, y)) == [(0, 1), (1, 0)] and bitext.cognate("Laboratory") == bitext.cognate("laboratorium")
+    x, y = bitext.side("en", ["The laboratory of Orbalin is open.", "Nothing."]), bitext.side("id", ["Tak ada.", "Ada laboratorium Orbalin."])
+    assert bitext.votes(x, y) == [(0, 1)]
+    assert bitext.same_sections(["1. Purpose", "1. Tujuan", "Scope / Lingkup", "Lingkup", None, "Else"], {}) == {None: -1, "1. Purpose": 1, "1. Tujuan": 1, "Else": 3, "Lingkup": 4, "Scope / Lingkup": 4}
+
+
 def test_chain_and_gap():
     assert bitext.increasing([(0, 0), (1, 5), (2, 1), (3, 2), (4, 9)]) == [(0, 0), (2, 1), (3, 2), (4, 9)]
     assert sorted(bitext._gap([(0, 0, 0.5), (0, 1, 0.9), (1, 0, 0.6), (1, 1, 0.3), (2, 2, 0.4)])) == [(0, 1), (2, 2)]
