@@ -14,9 +14,10 @@ read whole; a single character of more tokens than fit is never parted.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glosswork.llm import tokens
@@ -24,15 +25,18 @@ from glosswork.llm import tokens
 LIMIT, OVERLAP = 8192, 256
 #: tokens kept free because a piece tokenized by itself may need some more at its ends
 SLACK = 32
+#: ids of documents delivered twice that are sent to the workers; if there are more, all texts are shuffled
+MOST_REPEATED = 1_000_000
 
 SENTENCE_ENDS, CLAUSE_ENDS = set(".!?。！？…"), set(",;:，；：、")
 
 
-def _classes(text: str, enc) -> tuple[str, list[int]]:
-    """One class a token, and the character offset after each token."""
+def _classes(text: str, enc) -> tuple[str, list[int], list[int], list[int]]:
+    """One class a token; for each place between tokens its offset in characters and bytes, and the next place that parts none."""
     found = enc.encode_ordinary(text)
     parts = enc.decode_tokens_bytes(found)
     ends, classes, chars, open_ = [], [], 0, 0
+    bytes_ = [0, *accumulate(map(len, parts))]
     for part in parts:
         for byte in part:  # count characters by their first bytes; open_: bytes still missing of the last one
             if byte < 0x80:
@@ -60,7 +64,11 @@ def _classes(text: str, enc) -> tuple[str, list[int]]:
             classes[k] = "W"
         else:
             classes[k] = "x"
-    return "".join(classes), ends
+    sound = list(range(len(classes) + 1))
+    for k in range(len(classes) - 1, 0, -1):
+        if classes[k - 1] == "b":
+            sound[k] = sound[k + 1]
+    return "".join(classes), [0, *ends], bytes_, sound
 
 
 def pattern(limit: int) -> str:
@@ -70,21 +78,37 @@ def pattern(limit: int) -> str:
     return "|".join([*strong, f"[PLSCWxb]{{0,{most}}}[PLSCWx]", "[PLSCWxb]+?[PLSCWx]"])
 
 
+def _once(documents: DataFrame) -> DataFrame:
+    """doc_id, text of documents with text, each once. Ids alone are counted; only texts delivered twice are shuffled."""
+    rows = documents.select("doc_id", "text").filter(F.length("text") > 0)
+    twice = rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    n = twice.count()
+    if not n:
+        return rows
+    if n > MOST_REPEATED:
+        return rows.dropDuplicates(["doc_id"])
+    few = F.broadcast(twice)  # at most MOST_REPEATED numbers
+    return rows.join(few, "doc_id", "left_anti").unionByName(rows.join(few, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
+
 def pieces(documents: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, path: str = tokens.TOKENIZER) -> DataFrame:
     """doc_id, piece, char_start, char_end (0-based, end exclusive, overlap included), own_start (where it goes on), tokens, text."""
+    return _pieces(_once(documents), limit, overlap, path)
+
+
+def _pieces(rows: DataFrame, limit: int, overlap: int, path: str) -> DataFrame:
     if not 0 <= overlap < limit // 2:
         raise ValueError("the overlap must be less than half the limit")
-    rows = documents.select("doc_id", "text").filter(F.length("text") > 0).dropDuplicates(["doc_id"])
     own = limit - overlap - min(SLACK, limit // 8)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = tokens.encoding(path)
         for b in batches:
             for doc, text in zip(b["doc_id"], b["text"]):  # one document at a time: they may be long
-                classes, ends = _classes(text, enc)
-                yield pd.DataFrame({"doc_id": [doc], "text": [text], "classes": [classes], "ends": [ends]})
+                classes, ends, bytes_, sound = _classes(text, enc)
+                yield pd.DataFrame({"doc_id": [doc], "body": [text.encode()], "classes": [classes], "ends": [ends], "bytes": [bytes_], "sound": [sound]})
 
-    long = rows.filter(tokens.exceeds(F.col("text"), limit)).mapInPandas(run, "doc_id bigint, text string, classes string, ends array<int>")
+    long = rows.filter(tokens.exceeds(F.col("text"), limit)).mapInPandas(run, "doc_id bigint, body binary, classes string, ends array<int>, bytes array<int>, sound array<int>")
     fits = F.length("classes") <= limit
     parts = F.when(fits, F.array("classes")).otherwise(F.expr(f"regexp_extract_all(classes, '{pattern(own)}', 0)"))
     sizes = F.transform(parts, lambda p: F.length(p))
@@ -94,22 +118,25 @@ def pieces(documents: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, pat
         lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["cuts"], F.array(F.struct(acc["at"].alias("a"), (acc["at"] + n).alias("b")))).alias("cuts")),
         lambda acc: acc["cuts"],
     )
-    # the overlap starts after a token that ends a character
-    behind = F.expr("greatest(c.a - OVER, 0)".replace("OVER", str(overlap)))
-    cut = long.select("doc_id", "text", "classes", "ends", F.posexplode(cuts).alias("piece", "c"))
-    lead = F.when(behind == 0, 0).otherwise(F.length(F.regexp_extract(F.expr("substring(classes, greatest(c.a - %d, 0), c.a - greatest(c.a - %d, 0) + 1)" % (overlap, overlap)), "^b*", 0)))
-    cut = cut.withColumn("from", F.least(behind + lead, F.col("c.a")))
-    at = lambda k: F.when(k == 0, 0).otherwise(F.element_at("ends", k))
-    placed = cut.select(
-        "doc_id", "piece", at(F.col("from")).alias("char_start"), at(F.col("c.b")).alias("char_end"), at(F.col("c.a")).alias("own_start"),
-        (F.col("c.b") - F.col("from")).alias("tokens"), "text",
-    )
+    # the overlap starts after a token that ends a character; the arrays hold a value for each place between tokens
+    begin = lambda c: F.least(F.get("sound", F.greatest(c["a"] - overlap, F.lit(0))), c["a"])
+
+    def piece(c: Column, k: Column) -> Column:
+        """One piece, cut out of the bytes at its place: no piece costs more than its own length."""
+        start = begin(c)
+        first, last = F.get("bytes", start), F.get("bytes", c["b"])
+        text = F.decode(F.substring("body", first + 1, last - first), "UTF-8")
+        return F.struct(
+            k.alias("piece"), F.get("ends", start).alias("char_start"), F.get("ends", c["b"]).alias("char_end"), F.get("ends", c["a"]).alias("own_start"),
+            (c["b"] - start).alias("tokens"), text.alias("text"),
+        )
+
+    placed = long.select("doc_id", F.explode(F.transform(cuts, piece)).alias("p")).select("doc_id", "p.*")
     short = rows.filter(~tokens.exceeds(F.col("text"), limit)).select(
         "doc_id", F.lit(0).alias("piece"), F.lit(0).alias("char_start"), F.length("text").alias("char_end"), F.lit(0).alias("own_start"),
         tokens.count(F.col("text"), path).cast("int").alias("tokens"), "text",
     )
-    body = F.expr("substring(text, char_start + 1, char_end - char_start)")
-    return placed.withColumn("text", body).unionByName(short)
+    return placed.unionByName(short)
 
 
 def oversized(documents: DataFrame, limit: int = LIMIT, path: str = tokens.TOKENIZER) -> DataFrame:
@@ -117,5 +144,5 @@ def oversized(documents: DataFrame, limit: int = LIMIT, path: str = tokens.TOKEN
 
     Only texts of more than `limit` bytes can have as many tokens; the others are never tokenized.
     """
-    long = documents.select("doc_id", "text").filter(tokens.exceeds(F.col("text"), limit)).dropDuplicates(["doc_id"])
-    return pieces(long, limit, path=path).filter("piece = 1").select("doc_id").distinct()
+    long = documents.select("doc_id", "text").filter(tokens.exceeds(F.col("text"), limit))
+    return _pieces(long, limit, OVERLAP, path).filter("piece = 1").select("doc_id").distinct()
