@@ -67,12 +67,14 @@ def _masks(gap: str) -> list[tuple[str, str]]:
         # decimals, dates, clock times, versions, numbered sections
         (f"\\.(?<=\\d{_}\\.)(?={_}\\d)", STOP),
         # ordinals before a month
-        (f"\\.(?<=\\d{_}\\.)(?={_} ?{_}(?:{_any(MONTHS, gap)}))", STOP),
+        (f"\\.(?<=\\d{_}\\.)(?={_} ?{_}(?:{_any(MONTHS, gap)})(?!\\p{{L}}))", STOP),
         # two letters with a stop each, written together or apart: the stop inside
         (f"\\.(?<={word}\\p{{Ll}}{_}\\.)(?={_} ?{_}\\p{{L}}{_}\\.)", STOP),
         (f"\\.(?<={word}(?:{_any(' '.join(ABBREVIATIONS.values()), gap)}){_}\\.)(?=[\\s{FILL}]*[\\p{{L}}\\d\\p{{S}}(])", STOP),
         (f"\\.(?<={word}(?:{_any(CLOSING, gap)}){_}\\.)(?=[\\s{FILL}]*[\\p{{Ll}}\\d,;])", STOP),
-        # initials
+        # initials: one before another, the last of several, and one after a word
+        (f"\\.(?<={word}\\p{{Lu}}{_}\\.)(?={_} ?{_}\\p{{Lu}}{_}\\.)", STOP),
+        (f"\\.(?<=\\p{{Lu}}{_}{STOP}{_} ?{_}\\p{{Lu}}{_}\\.)(?={_} {_}\\p{{Lu}}{_}\\p{{Ll}})", STOP),
         (f"\\.(?<=[\\p{{L}},)] \\p{{Lu}}{_}\\.)(?= {_}\\p{{Lu}}\\p{{Ll}})", STOP),
         # dots in mid-sentence
         (f"\\.(?={_}\\.)", STOP),
@@ -95,9 +97,11 @@ def _shadow(text: Column) -> Column:
 
 
 def _mask(shadow: Column, gap: str) -> Column:
-    # URLs: a stop before a letter, digit or slash
-    url = F.regexp_replace(shadow, f"((?:https?://|www\\.)[^\\s]{{0,200}}?)\\.(?=[\\p{{L}}\\d/])", f"$1{STOP}")
-    stops = reduce(lambda x, step: F.regexp_replace(x, *step), _masks(gap), F.when(F.contains(shadow, F.lit("://")) | F.contains(shadow, F.lit("www.")), url).otherwise(shadow))
+    # URLs and addresses, each between blanks: every mark before a letter, digit or slash
+    named = lambda x: F.contains(x, F.lit("://")) | F.contains(x, F.lit("www.")) | F.contains(x, F.lit("@"))
+    inner = lambda w: F.regexp_replace(F.regexp_replace(w, r"\.(?=[A-Za-z\d/_~%-])", STOP), r"\?(?=[A-Za-z\d])", ASK)
+    url = F.array_join(F.transform(F.split(shadow, r"(?<=\s)"), lambda w: F.when(named(w), inner(w)).otherwise(w)), "")
+    stops = reduce(lambda x, step: F.regexp_replace(x, *step), _masks(gap), F.when(named(shadow), url).otherwise(shadow))
     out = F.when(F.contains(shadow, F.lit(".")), stops).otherwise(shadow)
     marks = ".!?。！？｡．", STOP + ASK + CRY + WIDE * 5
 
@@ -138,7 +142,7 @@ def _cuts(masked: Column, gap: str) -> Column:
         (f"({ENDS}(?:{_}{ENDS})*(?:{_}{CLOSERS})*)(?={_}[(（\"“]?{_}(?:\\p{{Lu}}|[{CJK}{THAI}]))", f"$1{CUT}"),
         (f"(\\n+)(?=[^\\n])", f"$1{CUT}"),
         # Thai: a blank parts sentences unless it stands beside a number
-        (f"([{THAI}]{_})( {{1,4}})(?={_}[{THAI}(\"“])", f"$1$2{CUT}"),
+        (f"([{THAI}]{_})( +)(?={_}[{THAI}(\"“])", f"$1$2{CUT}"),
     ]
     return reduce(lambda s, step: F.regexp_replace(s, *step), steps, masked)
 
