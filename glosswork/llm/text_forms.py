@@ -202,6 +202,24 @@ def consistent(segments: DataFrame, text: str = "text", out: str = "same_form")
     return segments.withColumn(out, one_form(F.col(text)))
 
 
+def _looks(segments: DataFrame) -> DataFrame:
+    """seg_id, doc_id, look, look2, stored: hashes of the consistent and the stored form of every visible segment, once."""
+    form = F.trim(F.col("same_form"))
+    hashed = consistent(segments.select("seg_id", "doc_id", "text").filter(F.col("text").isNotNull())).filter(form != "")
+    (a, b), (c, _) = fingerprint(form), fingerprint(F.col("text"))
+    return hashed.select("seg_id", "doc_id", a.alias("look"), b.alias("look2"), c.alias("stored")).dropDuplicates(["seg_id"])
+
+
+def look_classes(segments: DataFrame) -> DataFrame:
+    """seg_id, class (the least seg_id of those of its document that look the same), members, links (members that are stored
+    with other characters): one row a segment, no pairs."""
+    rows = cut_lineage(_looks(segments))  # five numbers a row, read three times
+    key = ["doc_id", "look", "look2"]
+    forms = rows.groupBy(*key, "stored").agg(F.count("*").alias("same"), F.min("seg_id").alias("first"))
+    classes = forms.groupBy(*key).agg(F.min("first").alias("class"), F.sum("same").alias("members"))
+    return rows.join(forms.drop("first"), [*key, "stored"]).join(classes, key).select("seg_id", "class", "members", (F.col("members") - F.col("same")).alias("links"))
+
+
 def same_look(segments: DataFrame) -> DataFrame:
     """Pairs seg_id_a < seg_id_b of one document that look the same and are stored differently.
 
@@ -209,11 +227,7 @@ def same_look(segments: DataFrame) -> DataFrame:
     text goes no further than the first stage: joins carry hashes. Groups with only one stored form are
     dropped by an aggregate (combined before its shuffle) before any row meets another.
     """
-    form = F.trim(F.col("same_form"))
-    hashed = consistent(segments.select("seg_id", "doc_id", "text").filter(F.col("text").isNotNull())).filter(form != "")
-    (a, b), (c, _) = fingerprint(form), fingerprint(F.col("text"))
-    rows = hashed.select("seg_id", "doc_id", a.alias("look"), b.alias("look2"), c.alias("stored")).dropDuplicates(["seg_id"])
-    rows = cut_lineage(rows)  # five numbers a row; three branches read it
+    rows = cut_lineage(_looks(segments))  # five numbers a row; three branches read it
     key = ["doc_id", "look", "look2"]
     several = rows.groupBy(*key).agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).filter("lo <> hi").select(*key)
     rows = rows.join(several, key, "left_semi")

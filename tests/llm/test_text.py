@@ -46,6 +46,7 @@ def test_pairs(spark, segments):
     rows = rows.union(rows)
     assert sorted(map(tuple, text_forms.same_look(rows).collect())) == [(1, 2), (1, 3)]
     assert text_forms.same_look(rows.limit(0)).count() == 0
+    assert sorted(map(tuple, text_forms.look_classes(rows).collect())) == [(1, 1, 3, 2), (2, 1, 3, 1), (3, 1, 3, 1), (7, 7, 1, 0)]
 
 
 def split(spark, text):
@@ -59,6 +60,7 @@ CASES = [
     ['The panel shows "Stop. Do not restart." until the crew resets it.', '"Is it closed?" asks the auditor before each start.'],
     ["4.3 Waste is weighed.", "Tighten to max. 5 Nm vs. min. 2 Nm."], ["(4) Spills are absorbed!", "Is it open?", "no end mark"],
     ["Am 6. März beginnt die Prüfung um 8.30 Uhr.", "Werkzeuge, z. B. Zangen, liegen im Schrank Nr. 8.", "Ende."],
+    ["See https://docs.example.com/Rev.A/Index.HTML?a=1&b=2.", "Mail info.Team@example.com first."], ["Send it to J. R. Hill at info.Team@example.com.", "A. B. Hill signs.", "J.R. Hill reads it."],
     ["Jam kerja adalah pukul 08.30 s.d. 16.45 setiap hari.", "Siapkan sarung tangan, masker, dll.", "Botol rusak."],
 ]
 
