@@ -3,7 +3,8 @@
 Every record of a source with a target gets a hash-random key; a source's records stand in the order of their
 keys. The keys' upper bits range-partition each source into buckets; bucket totals (combined before their
 shuffle) give distributed prefix sums, and only the bucket that holds the cut is summed record by record.
-A source whose budget exceeds its tokens is repeated whole, up to its cap, and cut in its last epoch.
+A source whose budget exceeds its tokens is repeated whole, up to its cap, and cut in its last epoch. What the record at
+the cut leaves of the budget is filled, in FILLS rounds, by the largest record not yet taken in that epoch that fits.
 
 Edge cases: null and empty texts have no tokens and are never chosen; records delivered twice count once;
 sources without records reach nothing and are reported so; a target named twice counts once (its larger share);
@@ -20,6 +21,8 @@ from glosswork.session import cut_lineage
 
 #: upper bits of the key that name the bucket: a source has up to 2^14 buckets, and a bucket a like part of its records
 BITS = 14
+#: rounds in which the rest of a budget is filled, and the part of a budget that may be missing where it counts as reached
+FILLS, TOLERANCE = 4, 0.01
 
 
 def _counted(documents: DataFrame, targets: DataFrame, seed: int, path: str) -> tuple[DataFrame, DataFrame]:
@@ -57,13 +60,24 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
     sure = placed.filter("kind <> 'cut'").select("doc_id", "source", "n_tokens", (F.col("epochs") + (F.col("kind") == "in").cast("int")).alias("repeats"))
     cut = placed.filter("kind = 'cut'").withColumn("sum", F.col("before") + F.sum("n_tokens").over(inner))
     cut = cut.select("doc_id", "source", "n_tokens", (F.col("epochs") + (F.col("sum") <= F.col("rest")).cast("int")).alias("repeats"))
-    chosen = sure.unionByName(cut).filter("repeats > 0").withColumn("repeats", F.col("repeats").cast("int"))
+    placed = cut_lineage(sure.unionByName(cut).withColumn("repeats", F.col("repeats").cast("int")))  # numbers, read by every round
+    taken = placed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("taken"))
+    open_ = plan.join(taken, "source").select("source", "epochs", (F.col("budget") - F.col("taken")).alias("left"), "max_repeats")
+    open_ = open_.filter((F.col("epochs") < F.col("max_repeats")) & (F.col("left") > 0))
+    for _ in range(FILLS):
+        free = placed.join(F.broadcast(open_), "source").filter((F.col("repeats") <= F.col("epochs")) & (F.col("n_tokens") <= F.col("left")) & (F.col("n_tokens") > 0))  # a row a source
+        more = free.groupBy("source").agg(F.max(F.struct("n_tokens", "doc_id")).alias("m")).select("source", F.col("m.doc_id").alias("doc_id"), F.col("m.n_tokens").alias("own"))
+        more = cut_lineage(more)
+        open_ = open_.join(more, "source", "left").withColumn("left", F.col("left") - F.coalesce("own", F.lit(0))).drop("own", "doc_id")
+        placed = placed.join(F.broadcast(more.drop("own").withColumn("again", F.lit(1))), ["source", "doc_id"], "left")
+        placed = placed.withColumn("repeats", F.col("repeats") + F.coalesce("again", F.lit(0))).drop("again")
+    chosen = placed.filter("repeats > 0").select("doc_id", "source", "n_tokens", "repeats")
     got = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("chosen_tokens"), F.max("repeats").alias("repeats_used"))
     shares = plan.join(got, "source", "left").na.fill({"chosen_tokens": 0, "repeats_used": 0})
     whole = F.sum("chosen_tokens").over(Window.partitionBy(F.lit(1)))  # one row a source
     shares = shares.select(
         "source", "target_share", "max_repeats", "budget", "available", "chosen_tokens", "repeats_used",
         F.round(F.try_divide(F.col("chosen_tokens"), whole), 6).alias("actual_share"),
-        (F.col("available") * F.col("max_repeats") >= F.col("budget")).alias("reached"),
+        (F.col("chosen_tokens") >= F.col("budget") * (1 - TOLERANCE)).alias("reached"),
     )
     return chosen, shares
