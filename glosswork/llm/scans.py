@@ -5,7 +5,7 @@ by a linear model over the sequence of a page's lines, decoded by Viterbi. Its l
 likeness to the line in the same place of the other pages, page marks, capitals, length against the page's width,
 sentence ends and starts, flow from the line before to the line after, and likeness to short lines of many other
 documents (stamps). The model starts from prior weights and is re-estimated by Viterbi training (label, count
-features and transitions, repeat) on a bounded sample of documents.
+features and transitions, repeat) over all pages; a round's counts are a few dozen numbers a partition.
 
 Body lines are joined over furniture, blank lines' paragraphs and page ends. A word divided at a line's end is
 joined if the joined form is more usual in the corpus than the hyphenated one; a word is misread if exchanging
@@ -37,8 +37,8 @@ from glosswork.session import cut_lineage
 BLOCK_PAGES = 200
 #: how much more usual than a word its corrected form must be
 RATIO = 10
-#: documents of the sample the line model is trained on
-SAMPLE_DOCUMENTS = 300
+#: rounds of Viterbi training
+ROUNDS = 2
 #: share of the scanned documents in which a short line must stand to be a stamp
 STAMP_SHARE = 0.002
 
@@ -64,7 +64,7 @@ HAN = dict(
 WORD = re.compile(r"[A-Za-zÀ-ɏ0-9@!|$]*[A-Za-zÀ-ɏ0-9@|$](?:['’][A-Za-z]+)?")
 DIVIDED = re.compile(r"[A-Za-zÀ-ɏ0-9@!|$-]*[A-Za-zÀ-ɏ0-9@!|$](?=[-‐‑¬\xad–]\s*$)")
 HYPHENS = "-‐‑¬\xad–"
-BEFORE, AFTER = re.compile(r"[A-Za-zÀ-ɏ0-9]+$"), re.compile(r"[A-Za-zÀ-ɏ0-9]+")
+PART = re.compile(r"[A-Za-zÀ-ɏ0-9]+")
 WATCHED = frozenset(HAN) | frozenset(HAN.values())
 WATCHED_ONE = re.compile(f"[{''.join(sorted(WATCHED))}]")
 HAN_RUN = re.compile(r"[㐀-鿿]+")
@@ -76,9 +76,12 @@ def words_of(text: str) -> list[str]:
     out = WORD.findall(plain)
     at = plain.find("-")
     while at >= 0:
-        left, right = BEFORE.search(plain, max(0, at - 40), at), AFTER.match(plain, at + 1)
-        if left and right:
-            out.append(f"{left[0]}-{right[0]}")
+        if right := PART.match(plain, at + 1):
+            k = at
+            while k and PART.match(plain[k - 1]):
+                k -= 1
+            if k < at:
+                out.append(f"{plain[k:at]}-{right[0]}")
         at = plain.find("-", at + 1)
     return out
 
@@ -213,9 +216,31 @@ def _alike(a: str, b: str) -> bool:
     return m.real_quick_ratio() > 0.75 and m.quick_ratio() > 0.75 and m.ratio() > 0.75
 
 
+def _running(firsts: list[str], pages: list[int]) -> list[bool]:
+    """Whether a page's first line is like those of half of the pages, or of the odd or the even ones, and of two at least.
+    Distinct lines are compared with one of each group only, the most usual first."""
+    tally = Counter(x for x in firsts if x)
+    groups: list[tuple[str, set[str]]] = []
+    for k, _ in tally.most_common():
+        for head, members in groups:
+            if _alike(head, k):
+                members.add(k)
+                break
+        else:
+            groups.append((k, {k}))
+    sides = (pages, [p for p in pages if p % 2], [p for p in pages if not p % 2])
+    good: set[str] = set()
+    for _, members in groups:
+        own = {p for p, k in zip(pages, firsts) if k in members}
+        if sum(tally[k] for k in members) >= 2 and any(side and len(own.intersection(side)) * 2 >= len(side) for side in sides):
+            good |= members
+    return [k in good for k in firsts]
+
+
 FEATURES = (
     "bias first_like first_title last_like edge_mark middle_mark own_number caps stamp other_script starts_small ends long short bare interrupts edge"
 ).split()
+BIT = {x: 1 << k for k, x in enumerate(FEATURES)}
 #: prior weights of header against body
 PRIOR = dict(zip(FEATURES, (-2.0, 5.0, 4.0, 5.0, 4.0, 0.0, 2.0, 4.0, 6.0, 5.0, -3.0, -3.0, -3.0, 0.5, -2.0, 1.0, 0.0)))
 
@@ -226,12 +251,7 @@ def page_features(lines: list[list[str]], pages: list[int], stamps: frozenset) -
     firsts = [fold(SPECK.sub("", p[e[0]].strip())) if e[0] is not None else "" for p, e in zip(lines, edges)]
     lasts = [re.sub(r"[0-9OlISB]+", "#", p[e[-1]]) if e[0] is not None else "" for p, e in zip(lines, edges)]
     last_of = Counter(lasts)
-    # like the first lines of most pages: compared with the most frequent ones, so a block of pages costs no square
-    usual = [k for k, _ in Counter(x for x in firsts if x).most_common(5)]
-    like = {k: {x for x in set(firsts) if _alike(k, x)} for k in usual}
-    tally = Counter(firsts)
-    groups = [x for x in like.values() if sum(tally[k] for k in x) * 2 >= len(firsts) and sum(tally[k] for k in x) >= 2]
-    no_like = [any(k in x for x in groups) for k in firsts]
+    no_like = _running(firsts, pages)
     out = []
     for no, p in enumerate(lines):
         filled = edges[no]
@@ -284,51 +304,71 @@ def page_features(lines: list[list[str]], pages: list[int], stamps: frozenset) -
 
 
 class LineModel:
-    """Header against body: weights of features and of label pairs."""
+    """Header against body: weights of features and of label pairs. A line is a set of features as bits; -1 is a blank line."""
 
     def __init__(self, weights: dict[str, float] | None = None, steps: np.ndarray | None = None):
         self.weights = weights or dict(PRIOR)
         self.steps = steps if steps is not None else np.array([[0.0, 0.0], [0.0, -1.0]])  # body, header
+        self.known: dict[int, float] = {}
+
+    def score(self, line: int) -> float:
+        got = self.known.get(line)
+        if got is None:
+            got = self.known[line] = sum(self.weights[x] for k, x in enumerate(FEATURES) if line >> k & 1)
+        return got
 
-    def label(self, row: list[set[str] | None]) -> list[str]:
+    def label(self, row: list[int]) -> list[str]:
         """Viterbi over the filled lines of a page; blank lines are breaks."""
-        at = [i for i, f in enumerate(row) if f is not None]
-        out = ["break"] * len(row)
-        if not at:
-            return out
-        score = np.array([[0.0, sum(self.weights[x] for x in row[i])] for i in at])
-        best, back = score[0], []
-        for k in range(1, len(at)):
-            all_ = best[:, None] + self.steps
-            back.append(all_.argmax(axis=0))
-            best = all_.max(axis=0) + score[k]
-        j = int(best.argmax())
+        out, back, body, header = ["break"] * len(row), [], 0.0, 0.0
+        (bb, bh), (hb, hh) = self.steps.tolist()
+        at = [i for i, f in enumerate(row) if f >= 0]
+        for k, i in enumerate(at):
+            s = self.score(row[i])
+            if k:
+                back.append((int(header + hb > body + bb), int(header + hh > body + bh)))
+                body, header = max(body + bb, header + hb), max(body + bh, header + hh) + s
+            else:
+                header = s
+        j = int(header > body)
         for k in range(len(at) - 1, -1, -1):
             out[at[k]] = ("body", "header")[j]
             if k:
-                j = int(back[k - 1][j])
+                j = back[k - 1][j]
         return out
 
-    def trained(self, sample: list[list[list[set[str] | None]]], rounds: int = 2) -> LineModel:
-        """Viterbi training; the prior weights count as much as PRIOR_LINES lines."""
-        model = self
-        for _ in range(rounds):
-            seen, total, steps = {x: np.ones(2) for x in FEATURES}, np.ones(2) * 2, np.ones((2, 2))
-            for doc in sample:
-                for row in doc:
-                    labels = [(f, int(x == "header")) for f, x in zip(row, model.label(row)) if f is not None]
-                    for f, y in labels:
-                        total[y] += 1
-                        for x in f:
-                            seen[x][y] += 1
-                    for (_, a), (_, b) in zip(labels, labels[1:]):
-                        steps[a, b] += 1
-            odds = {x: float(np.log(seen[x][1] / total[1]) - np.log(seen[x][0] / total[0])) for x in FEATURES}
-            odds["bias"] = float(np.log(total[1] / total[0]))
-            weights = {x: 0.5 * PRIOR[x] + 0.5 * float(np.clip(odds[x], -6, 6)) for x in FEATURES}
-            rows = np.log(steps / steps.sum(axis=1, keepdims=True))
-            model = LineModel(weights, 0.5 * (rows - rows[:, :1]) * np.array([[0, 0.3], [0, 0.3]]))
-        return model
+    def counts(self, rows: list[list[int]]) -> Counter:
+        """What one round of Viterbi training counts: (feature or "lines", label) and (label, label)."""
+        out: Counter = Counter()
+        for row in rows:
+            labels = [(f, x) for f, x in zip(row, self.label(row)) if f >= 0]
+            out.update(("line", f, x) for f, x in labels)
+            out.update(("step", a, b) for (_, a), (_, b) in zip(labels, labels[1:]))
+        total: Counter = Counter()
+        for (kind, f, x), n in out.items():
+            if kind == "step":
+                total["step", f, x] += n
+                continue
+            total["lines", "", x] += n
+            for k, name in enumerate(FEATURES):
+                if f >> k & 1:
+                    total["line", name, x] += n
+        return total
+
+    def retrained(self, counts: dict[tuple[str, str, str], int]) -> LineModel:
+        """The model after a round: half prior, half the odds that were counted."""
+        names = ("body", "header")
+        total = np.array([2.0 + counts.get(("lines", "", x), 0) for x in names])
+        seen = {f: np.array([1.0 + counts.get(("line", f, x), 0) for x in names]) for f in FEATURES}
+        steps = np.array([[1.0 + counts.get(("step", a, b), 0) for b in names] for a in names])
+        odds = {f: float(np.log(seen[f][1] / total[1]) - np.log(seen[f][0] / total[0])) for f in FEATURES}
+        odds["bias"] = float(np.log(total[1] / total[0]))
+        weights = {f: 0.5 * PRIOR[f] + 0.5 * float(np.clip(odds[f], -6, 6)) for f in FEATURES}
+        rows = np.log(steps / steps.sum(axis=1, keepdims=True))
+        return LineModel(weights, 0.5 * (rows - rows[:, :1]) * np.array([[0, 0.3], [0, 0.3]]))
+
+
+def bits(row: list[set[str] | None]) -> list[int]:
+    return [-1 if f is None else sum(BIT[x] for x in f) for f in row]
 
 
 def _stamps(pages: DataFrame) -> frozenset:
@@ -348,10 +388,9 @@ def _stamps(pages: DataFrame) -> frozenset:
 LINE = "doc_id bigint, page int, line_no int, label string, words array<string>, divided string, rest string, rest_page int, rest_line int, rest_all string, contexts array<string>"
 
 
-def _doc_lines(doc: int, pages: list[tuple[int, str]], model: LineModel, stamps: frozenset, own: set[int]) -> Iterator[tuple]:
+def _doc_lines(doc: int, pages: list[tuple[int, str]], labels: list[list[str]], own: set[int]) -> Iterator[tuple]:
     lines = [t.split("\n") for _, t in pages]
     numbers = [p for p, _ in pages]
-    labels = [model.label(row) for row in page_features(lines, numbers, stamps)]
     flow = [(no, i) for no, p in enumerate(lines) for i in range(len(p)) if labels[no][i] == "body"]
     after = {a: b for a, b in zip(flow, flow[1:]) if numbers[b[0]] - numbers[a[0]] <= 1}
     heads: dict[tuple[int, int], int] = {}
@@ -384,28 +423,58 @@ def _doc_lines(doc: int, pages: list[tuple[int, str]], model: LineModel, stamps:
             yield (doc, numbers[no], i, "body", words, piece, rest, rest_page, rest_line, rest_all, [c for _, c in han_contexts(text)])
 
 
-def labelled_lines(pages: DataFrame) -> DataFrame:
-    """Every line of every page with its label, its whole words, and the word divided at its end with its other part."""
-    own = pages.select("doc_id", "page", "text").filter(F.length("text") > 0).dropDuplicates(["doc_id", "page"])
-    stamps = _stamps(own)
-    docs = own.select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().orderBy("h").limit(SAMPLE_DOCUMENTS)
-    sample = own.filter(F.col("page") < BLOCK_PAGES).join(docs, "doc_id", "left_semi").toPandas().sort_values(["doc_id", "page"])
-    features = [page_features([t.split("\n") for t in g["text"]], g["page"].tolist(), stamps) for _, g in sample.groupby("doc_id")]
-    shared = pages.sparkSession.sparkContext.broadcast((LineModel().trained(features), stamps))
+def _blocks(pages: DataFrame) -> DataFrame:
+    """Pages once, with their block; the first page of the next block comes along, for the word that its text begins with."""
     block = F.floor(F.col("page") / BLOCK_PAGES)
-    # the first page of the next block comes along, for the word that its text begins with
     blocks = F.when(F.col("page") % BLOCK_PAGES == 0, F.array(block, block - 1)).otherwise(F.array(block))
-    spread = own.select("doc_id", "page", "text", F.explode(blocks).alias("block"))
+    return pages.select("*", F.explode(blocks).alias("block"))
+
+
+def featured(pages: DataFrame) -> DataFrame:
+    """doc_id, page, text, lines: pages with the features of their lines as bits."""
+    own = pages.select("doc_id", "page", "text").filter(F.length("text") > 0).dropDuplicates(["doc_id", "page"])
+    shared = pages.sparkSession.sparkContext.broadcast(_stamps(own))  # fewer than (short lines a document) / STAMP_SHARE
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("page")
+        rows = page_features([x.split("\n") for x in g["text"]], g["page"].tolist(), shared.value)
+        return pd.DataFrame({"doc_id": g["doc_id"], "page": g["page"], "text": g["text"], "lines": [bits(r) for r in rows]})
+
+    block = F.floor(F.col("page") / BLOCK_PAGES).alias("block")
+    return own.groupBy("doc_id", block).applyInPandas(run, "doc_id bigint, page int, text string, lines array<int>")
+
+
+def trained(rows: DataFrame, rounds: int = ROUNDS) -> LineModel:
+    """Viterbi training over all pages: each round labels them and adds up what its labels count, in every partition first."""
+    model, spark = LineModel(), rows.sparkSession
+    for _ in range(rounds):
+        shared = spark.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            total: Counter = Counter()
+            for b in batches:
+                total.update(shared.value.counts([list(x) for x in b["lines"]]))
+            yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["kind", "x", "y", "n"])
+
+        counts = rows.select("lines").mapInPandas(run, "kind string, x string, y string, n bigint").groupBy("kind", "x", "y").agg(F.sum("n").alias("n"))
+        model = model.retrained({(r["kind"], r["x"], r["y"]): r["n"] for r in counts.collect()})  # a row a feature and label
+    return model
+
+
+def labelled_lines(pages: DataFrame) -> DataFrame:
+    """Every line of every page with its label, its whole words, and the word divided at its end with its other part."""
+    rows = cut_lineage(featured(pages))  # read by every round of training and by the labels
+    shared = pages.sparkSession.sparkContext.broadcast(trained(rows))
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        model, stamps_ = shared.value
         g = g.sort_values("page")
         mine = {p for p in g["page"] if p // BLOCK_PAGES == key[1]}
-        rows = list(_doc_lines(int(key[0]), list(zip(g["page"].tolist(), g["text"])), model, stamps_, mine))
-        out = pd.DataFrame(rows, columns=[c.split()[0] for c in LINE.split(", ")])
+        labels = [shared.value.label(list(x)) for x in g["lines"]]
+        found = list(_doc_lines(int(key[0]), list(zip(g["page"].tolist(), g["text"])), labels, mine))
+        out = pd.DataFrame(found, columns=[c.split()[0] for c in LINE.split(", ")])
         return out.astype({"rest_page": "Int32", "rest_line": "Int32"})
 
-    return spread.groupBy("doc_id", "block").applyInPandas(run, LINE)
+    return _blocks(rows).groupBy("doc_id", "block").applyInPandas(run, LINE)
 
 
 def _judged(words: DataFrame, counts: DataFrame) -> DataFrame:
@@ -423,23 +492,32 @@ def _judged(words: DataFrame, counts: DataFrame) -> DataFrame:
     return known.join(best, "word", "left").na.fill({"n_best": 0})
 
 
-def defects(pages: DataFrame, documents: DataFrame) -> DataFrame:
-    """doc_id, page, line_no, defect: furniture lines, lines that end in a divided word, lines with a misread character."""
+WHERE = ["doc_id", "page", "line_no"]
+#: words known as misread that are sent to the workers; if there are more, lines meet them in a salted join
+MOST_WRONG, SALTS = 1_000_000, 32
+
+
+def decisions(pages: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lines, misread, cut). misread: WHERE, word, best of words inside lines; cut: divided words (WHERE, divided, rest,
+    rest_page, rest_line, best) with `broken`, and `fixed` where the joined word is misread for `best`."""
     lines = cut_lineage(labelled_lines(pages))
     counts = cut_lineage(vocabulary(documents))
-    where = ["doc_id", "page", "line_no"]
-    furniture = lines.filter("label = 'header'").select(*where, F.lit("furniture").alias("defect"))
     body = lines.filter("label = 'body'")
-    whole = body.select(*where, F.explode(F.array_distinct(F.concat("words", "contexts"))).alias("word"))
+    whole = body.select(*WHERE, F.explode(F.array_distinct(F.concat("words", "contexts"))).alias("word"))
     # a divided word: joined, with a hyphen, and the part that stands alone
     parts = body.filter("divided is not null").select(
-        *where, "divided", "rest", "rest_page", "rest_line", "rest_all",
+        *WHERE, "divided", "rest", "rest_page", "rest_line", "rest_all",
         F.concat("divided", F.coalesce("rest", F.lit(""))).alias("joined"), F.lower(F.concat_ws("-", "divided", "rest")).alias("compound"),
     )
     asked = whole.select("word").union(parts.select("joined")).distinct().filter(F.length("word") > 0)
     verdict = cut_lineage(_judged(asked, counts))
     wrong = (F.col("n_best") >= RATIO * F.greatest("n", F.lit(1))) & (F.col("n_best") > 0)
-    misread = whole.join(verdict.filter(wrong).select("word"), "word", "left_semi").select(*where)
+    known = verdict.filter(wrong).select("word", "best")
+    if known.count() <= MOST_WRONG:  # usual words stay where they are
+        misread = whole.join(F.broadcast(known), "word")
+    else:
+        salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        misread = whole.withColumn("salt", F.pmod(F.xxhash64(*WHERE), F.lit(SALTS)).cast("int")).join(salted, ["word", "salt"]).drop("salt")
     cut = parts.join(verdict.select(F.col("word").alias("joined"), "n", "best", "n_best"), "joined", "left")
     cut = cut.join(counts.select(F.col("word").alias("compound"), F.col("n").alias("n_compound")), "compound", "left").na.fill(0, ["n", "n_best", "n_compound"])
     fixed = wrong & F.col("rest").isNotNull()
@@ -448,32 +526,84 @@ def defects(pages: DataFrame, documents: DataFrame) -> DataFrame:
     broken = F.when(
         F.col("rest").isNull() | (F.col("rest") == ""), F.col("divided").rlike(r"^\p{Ll}+$")
     ).otherwise((usual > F.col("n_compound")) | ((usual == 0) & (F.col("n_compound") == 0) & ~F.col("rest").rlike(r"^[\p{Lu}\d]")))
-    cut = cut.withColumn("broken", broken)
+    return lines, misread, cut.withColumns({"broken": broken, "fixed": fixed})
+
+
+def defects(pages: DataFrame, documents: DataFrame) -> DataFrame:
+    """doc_id, page, line_no, defect: furniture lines, lines that end in a divided word, lines with a misread character."""
+    lines, inside, cut = decisions(pages, documents)
+    furniture = lines.filter("label = 'header'").select(*WHERE, F.lit("furniture").alias("defect"))
     # a misread character of a joined word belongs to the line it stands on
     same = F.expr("substring(lower(divided), 1, length(divided)) = substring(best, 1, length(divided))")
-    hit = cut.filter(fixed & F.col("broken"))
-    first = hit.filter(~same).select(*where)
+    hit = cut.filter(F.col("fixed") & F.col("broken"))
+    first = hit.filter(~same).select(*WHERE)
     second = hit.filter(same).select("doc_id", F.col("rest_page").alias("page"), F.col("rest_line").alias("line_no"))
-    misread = misread.unionByName(first).unionByName(second).withColumn("defect", F.lit("misread"))
-    ends = cut.filter("broken").select(*where, F.lit("broken").alias("defect"))
+    misread = inside.select(*WHERE).unionByName(first).unionByName(second).withColumn("defect", F.lit("misread"))
+    ends = cut.filter("broken").select(*WHERE, F.lit("broken").alias("defect"))
     return furniture.unionByName(ends).unionByName(misread).distinct()
 
 
-def paragraphs(pages: DataFrame) -> DataFrame:
-    """doc_id, paragraph (0-based), text: the continuous text of every scanned document.
-
-    Furniture goes, divided words are joined where their hyphen is at a line's end, lines are joined by blanks (scripts
-    without blanks: by nothing); a blank line parts paragraphs, and so does a missing page.
+def _cased(read: str, best: str) -> str:
+    """The right form in the case of the one that was read."""
+    letters = [c for c in read if c.isalpha()]
+    if len(letters) > 1 and all(c.isupper() for c in letters):
+        return best.upper()
+    return best[:1].upper() + best[1:] if read[:1].isupper() else best
+
+
+def repaired(line: str, words: list[str], bests: list[str], head: int, tail: str | None, ending: str | None) -> str:
+    """A line with its misread words right; without the `head` characters that went to the line before it; `tail`, what its
+    end reads, becomes `ending`."""
+    text = line.strip()[head:] if head else line.strip()
+    if tail is not None and (m := re.search(re.escape(tail) + rf"[{HYPHENS}]?\s*$", text)):
+        text = text[: m.start()]
+    else:
+        ending = None
+    if words:
+        text = transducer().apply(text)
+        for word, best in zip(words, bests):
+            if len(word) == 3 and HAN_RUN.match(word[1]):
+                text = text.replace(word.strip("<>"), best.strip("<>"))
+            else:
+                text = re.sub(rf"(?<![A-Za-zÀ-ɏ0-9@!|$]){re.escape(word)}(?![A-Za-zÀ-ɏ0-9@|$])", lambda _, w=word, b=best: _cased(w, b), text)
+    return text + (ending or "")
+
+
+@pandas_udf(T.StringType())
+def repaired_lines(line: pd.Series, words: pd.Series, bests: pd.Series, head: pd.Series, tail: pd.Series, ending: pd.Series) -> pd.Series:
+    rows = zip(line, words, bests, head, tail, ending)
+    return pd.Series([repaired(x, [] if w is None else list(w), [] if b is None else list(b), 0 if pd.isna(h) else int(h), c, e) for x, w, b, h, c, e in rows], dtype=object)
+
+
+def paragraphs(pages: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """doc_id, paragraph (0-based), text, confidence: the continuous text of every scanned document.
+
+    Furniture goes, misread words are put right, divided words joined, and other hyphens at a line's end kept, as `decisions`
+    has it; lines are joined by blanks (scripts without blanks: by nothing); a blank line parts paragraphs, and so does a
+    missing page. confidence: the mean of the pages' own, on the scale 0-1, over the paragraph's lines; pages without any
+    count as one half. Words are counted in `documents`, by default in the pages themselves.
     """
-    own = pages.select("doc_id", "page", "text").filter(F.length("text") > 0).dropDuplicates(["doc_id", "page"])
-    labels = cut_lineage(labelled_lines(pages).select("doc_id", "page", "line_no", "label"))
-    lines = own.select("doc_id", "page", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).join(labels, ["doc_id", "page", "line_no"])
-    kept = lines.filter("label <> 'header'")
+    own = pages.filter(F.length("text") > 0).groupBy("doc_id", "page").agg(F.max("text").alias("text"), F.max("confidence").alias("confidence"))
+    sure = F.coalesce(F.when(F.col("confidence") > 1, F.col("confidence") / 100).otherwise(F.col("confidence")), F.lit(0.5))
+    own = own.withColumn("confidence", F.greatest(F.least(sure, F.lit(1.0)), F.lit(0.0)))
+    labels, misread, cut = decisions(pages, documents if documents is not None else own)
+    known = misread.groupBy(*WHERE).agg(F.sort_array(F.collect_set(F.struct("word", "best"))).alias("wrong"))
+    # a divided word stands whole at the end of its first line
+    joined = F.col("broken") & (F.coalesce("rest", F.lit("")) != "")
+    best = F.when(F.col("divided").rlike(r"^\p{Lu}"), F.concat(F.upper(F.substring("best", 1, 1)), F.expr("substring(best, 2)"))).otherwise(F.col("best"))
+    whole = F.when(F.col("fixed"), best).otherwise(F.concat("divided", "rest"))
+    ends = cut.groupBy(*WHERE).agg(F.max(F.struct(F.col("divided").alias("tail"), F.when(joined, whole).alias("ending"))).alias("e"))
+    heads = cut.filter(joined).groupBy("doc_id", F.col("rest_page").alias("page"), F.col("rest_line").alias("line_no")).agg(F.max(F.length("rest")).alias("head"))
+    lines = own.select("doc_id", "page", "confidence", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).join(labels.select(*WHERE, "label"), WHERE)
+    kept = lines.filter("label <> 'header'").join(known, WHERE, "left").join(ends, WHERE, "left").join(heads, WHERE, "left")
+    tail = F.when(F.col("e.ending").isNotNull(), F.col("e.tail"))
+    text = repaired_lines("line", F.col("wrong.word"), F.col("wrong.best"), "head", tail, "e.ending")
+    # what stands between this line and the next: nothing after a divided word or a hyphen that stays
+    kept = kept.select(*WHERE, "label", "confidence", text.alias("line"), F.when(F.col("e").isNotNull(), "").otherwise("\n").alias("gap"))
     order = Window.partitionBy("doc_id").orderBy("page", "line_no")
-    gap = F.coalesce(F.col("page") - F.lag("page").over(order) > 1, F.lit(False)) | (F.col("label") == "break")
-    numbered = kept.withColumn("paragraph", F.sum(gap.cast("int")).over(order)).filter("label = 'body'")
-    ordered = numbered.groupBy("doc_id", "paragraph").agg(F.array_sort(F.collect_list(F.struct("page", "line_no", "line"))).alias("ls"))
-    joined = F.concat_ws("\n", F.transform("ls", lambda x: F.trim(x["line"])))
-    text = F.regexp_replace(joined, r"(\p{L})[-‐‑¬\x{AD}–]\n(?=\p{Ll})", "$1")
+    new = F.coalesce(F.col("page") - F.lag("page").over(order) > 1, F.lit(False)) | (F.col("label") == "break")
+    numbered = kept.withColumn("paragraph", F.sum(new.cast("int")).over(order)).filter("label = 'body'")
+    ordered = numbered.groupBy("doc_id", "paragraph").agg(F.array_sort(F.collect_list(F.struct("page", "line_no", "line", "gap"))).alias("ls"), F.round(F.avg("confidence"), 4).alias("confidence"))
+    text = F.rtrim(F.array_join(F.transform("ls", lambda x: F.concat(x["line"], x["gap"])), ""), F.lit("\n"))
     text = F.regexp_replace(text, r"([\x{2E80}-\x{9FFF}，。、；：！？（）“”])\n(?=[\x{2E80}-\x{9FFF}，。、；：！？（）“”])", "$1")
-    return ordered.select("doc_id", "paragraph", F.regexp_replace(text, r"\n", " ").alias("text"))
+    return ordered.select("doc_id", "paragraph", F.regexp_replace(text, r"\n", " ").alias("text"), "confidence")
