@@ -397,12 +397,8 @@ def decide(letters: DataFrame, key: str) -> DataFrame:
     )
 
 
-def attribute(documents: DataFrame, segments: DataFrame, findings: DataFrame) -> DataFrame:
-    """record, record_id, lang, confidence, label: a language for every document, finding and part of a mixed segment.
-
-    Documents that have segments are judged by their body segments (running headers and footers have no language), others
-    by their text. A segment is mixed if two languages have a clause of running text in it; it has a row for each.
-    """
+def _counted(documents: DataFrame, segments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Letters by language of the body segments, and of the documents: by their segments, or by their text where they have none."""
     model = fit(documents)
     body = segments.filter(~F.coalesce(F.col("kind"), F.lit("")).isin("heading", "header", "footer"))
     # only counts leave the first stage, so no text is ever shuffled; three branches read those of the segments
@@ -410,7 +406,28 @@ def attribute(documents: DataFrame, segments: DataFrame, findings: DataFrame) ->
     of_doc = seg_letters.select("doc_id", "lang", "letters", "sure")
     plain = tally(documents, model, ["doc_id"], True).drop("longest").dropDuplicates(["doc_id", "lang"])
     plain = plain.join(body.select("doc_id").distinct(), "doc_id", "left_anti")
-    doc_letters = of_doc.unionByName(plain)
+    return seg_letters, of_doc.unionByName(plain)
+
+
+def tally_confidence(documents: DataFrame, segments: DataFrame, tallies: DataFrame) -> DataFrame:
+    """doc_id, language, characters, stated, confidence: each tally's confidence as the text bears it out: how sure its
+    letters are of that language, times the part of the counted characters that are. stated: the tally's own, null where it
+    is not between 0 and 1. Tallies delivered twice count once; a language that the text lacks has 0."""
+    _, letters = _counted(documents, segments)
+    by = letters.groupBy("doc_id", "lang").agg(F.sum("letters").alias("letters"), F.sum("sure").alias("sure"))
+    own = tallies.select("doc_id", "language", "characters", F.when(F.col("confidence").between(0, 1), F.col("confidence")).alias("stated")).distinct()
+    met = own.withColumn("lang", notation(F.col("language"))).join(by, ["doc_id", "lang"], "left")
+    part = F.least(F.lit(1.0), F.try_divide(F.col("letters"), F.col("characters")))
+    return met.select("doc_id", "language", "characters", "stated", F.round(F.coalesce(part * F.col("sure") / F.col("letters"), F.lit(0.0)), 4).alias("confidence"))
+
+
+def attribute(documents: DataFrame, segments: DataFrame, findings: DataFrame) -> DataFrame:
+    """record, record_id, lang, confidence, label: a language for every document, finding and part of a mixed segment.
+
+    Documents that have segments are judged by their body segments (running headers and footers have no language), others
+    by their text. A segment is mixed if two languages have a clause of running text in it; it has a row for each.
+    """
+    seg_letters, doc_letters = _counted(documents, segments)
     labelled = documents.select("doc_id", notation(F.col("lang")).alias("label")).dropDuplicates(["doc_id"])
     doc_rows = decide(doc_letters, "doc_id").join(labelled, "doc_id").select(
         F.lit("document").alias("record"), F.col("doc_id").alias("record_id"), "lang", "confidence", "label"

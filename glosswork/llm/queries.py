@@ -22,6 +22,11 @@ def p1_same_form(spark: SparkSession, root: str) -> DataFrame:
     return text_forms.consistent(rows).drop("text")
 
 
+def p1_classes(spark: SparkSession, root: str) -> DataFrame:
+    """Every visible segment with the class of those of its document that look the same, and its number of links."""
+    return text_forms.look_classes(table(spark, root, "segments"))
+
+
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return bitext.translations(*(table(spark, root, n) for n in ("segments", "documents", "document_sections")))
 
@@ -43,13 +48,18 @@ def p4_languages(spark: SparkSession, root: str) -> DataFrame:
     return _attributed(spark, root).drop("label")
 
 
+def p4_tallies(spark: SparkSession, root: str) -> DataFrame:
+    """The confidence of every language tally as the text bears it out."""
+    return language.tally_confidence(*(table(spark, root, n) for n in ("documents", "segments", "language_tallies")))
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return scans.defects(table(spark, root, "ocr_pages"), table(spark, root, "documents"))
 
 
 def p6_paragraphs(spark: SparkSession, root: str) -> DataFrame:
     """The continuous paragraphs of every scanned document."""
-    return scans.paragraphs(table(spark, root, "ocr_pages"))
+    return scans.paragraphs(table(spark, root, "ocr_pages"), table(spark, root, "documents"))
 
 
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
@@ -72,11 +82,11 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p9_pieces(spark: SparkSession, root: str) -> DataFrame:
     """All pieces of all documents, without their text."""
-    return pieces.pieces(table(spark, root, "documents")).drop("text")
+    return pieces.pieces(table(spark, root, "documents")).drop("text").distinct()
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_same_form, p2_found, p3_found, p4_found, p4_languages, p6_found, p6_paragraphs, p7_found, p8_mixture, p8_shares, p9_found, p9_pieces)
+    for f in (p1_found, p1_same_form, p1_classes, p2_found, p3_found, p4_found, p4_languages, p4_tallies, p6_found, p6_paragraphs, p7_found, p8_mixture, p8_shares, p9_found, p9_pieces)
 }
 SQL: dict[str, str] = {}

@@ -30,6 +30,16 @@ def test_language(spark, documents, segments):
     assert not {x for x in got if x[:2] in {("document", 3), ("document", 5), ("document", 6), ("document", 7), ("finding", 2), ("finding", 3), ("segment", 1)}}
 
 
+def test_tally_confidence(spark, documents, segments):
+    docs = corpus(documents, [(1, " ".join(EN), "en", "a")])
+    segs = segments([(1, " ".join(EN), "line", None, None)])
+    rows = [(1, "EN", 170, 7.5, 0), (1, "EN", 170, 7.5, 0), (1, "id", 50, 0.9, 0), (1, None, 5, None, 0), (99, "zh", 0, 1.0, 0)]
+    tallies = spark.createDataFrame(rows, "doc_id bigint, language string, characters int, confidence double, lang int")
+    got = {(r.doc_id, r.language): (r.stated, r.confidence) for r in language.tally_confidence(docs, segs, tallies).collect()}
+    assert len(got) == 4 and got[1, "EN"][0] is None and got[1, "EN"][1] > 0.5
+    assert got[1, "id"] == (0.9, 0.0) and got[99, "zh"] == (1.0, 0.0) and got[1, None] == (None, 0.0)
+
+
 def test_language_held_out(spark, documents):
     model = language.fit(corpus(documents))
     look = language.Lookup(model)
@@ -116,6 +126,7 @@ def test_mixing_matches_a_plain_sum(spark, documents):
         assert len({r.doc_id for r in own}) == len(own) and max(r.repeats for r in own) <= repeats
         total = sum(r.n_tokens * r.repeats for r in own)
         assert total == got[source].chosen_tokens <= got[source].budget
+        assert got[source].reached == (total >= 0.99 * got[source].budget)
         if got[source].reached:
             assert got[source].budget - total <= max(r.n_tokens for r in own)
     assert got["none"].chosen_tokens == 0
@@ -136,9 +147,31 @@ def test_scans(spark, documents):
     assert one == {(0, "furniture"), (2, "furniture"), (7, "furniture"), (1, "broken"), (3, "broken"), (3, "misread")}
     text = scans.paragraphs(pages).filter("doc_id = 1").orderBy("paragraph").first().text
     assert "the filling line. Drain" in text and "CONTROLLED" not in text
+    one = scans.paragraphs(pages, documents(clean)).filter("doc_id = 1").orderBy("paragraph").first()
+    assert one.text == "The maintenance technician checks the filter press and the filling line. Drain water from the line is tested in the quarantine area. The guide is a step-by-step guide that the technician checks."
+    assert one.confidence == 0.9
     assert scans.defects(pages.limit(0), documents([])).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("args", "want"),
+    [
+        (("Frorn the line", ["Frorn"], ["from"], 0, None, None), "From the line"), (("FRORN", ["FRORN"], ["from"], 0, None, None), "FROM"), (("of qua-", [], [], 0, "qua", "quarantine"), "of quarantine"),
+        (("rantine area", [], [], 7, None, None), " area"), (("厍存台账", ["<厍存"], ["<库存"], 0, None, None), "库存台账"), (("a step-", [], [], 0, None, None), "a step-"),
+    ],
+)
+def test_repaired_lines(args, want):
+    assert scans.repaired(*args) == want
+
+
+def test_running_heads_may_alternate():
+    left, right = scans.fold("SOP-QA-001 Filling of the line"), scans.fold("Merrow internal use")
+    firsts = [(left, right)[p % 2] for p in range(8)]
+    assert scans._running(firsts, list(range(8))) == [True] * 8
+    assert scans._running(["abcdefg", "hijklmnop", "qrstuvw"], [1, 2, 3]) == [False] * 3
+    assert scans.words_of(f"{'a' * 90}-b c-d-e") == ["a" * 90, "b", "c", "d", "e", f"{'a' * 90}-b", "c-d", "d-e"]
+
+
 def test_corrections_undo_strokes():
     for word, wrong in (("dengan", "deng@n"), ("filter", "fi1ter"), ("sampai", "sarnpai"), ("tested", "fested"), ("agreed", "agreecl"), ("10", "lO"), ("库存台"[:3], "厍存台"[:3])):
         if len(word) == 3 and word[0] > "z":
