@@ -1,10 +1,12 @@
 """Timestamps in mixed formats and zones to UTC microseconds (problem 5).
 
 Every value is read in all ways it can be read: an array of (label, utc_us, prior), built in SQL
-expressions only. `label` is the day-month order a numeric date was read with, `prior` what that
-reading costs by itself (against the configured order). A Viterbi pass over each source's records
-in order then picks one reading per value: it pays `SWITCH` whenever the day-month order changes
-from one numeric date of a source to the next and `BACKWARD` whenever time runs backwards.
+expressions only. `label` is the day-month order a numeric date was read with, `form` the pattern with
+its separator and order, `prior` what that reading costs by itself (against the configured order). A
+Viterbi pass over each source's records in order then picks one reading per value: it pays `SWITCH`
+whenever the day-month order changes from one numeric date of a source to the next, `FORM` whenever
+the form of a record is not that of the one before, and `BACKWARD` whenever time runs backwards. The
+configured order outweighs all of these, so it is kept; where a source has none, the pass decides.
 
 The pass is distributed. A source may hold any share of the rows, so its records are cut into
 blocks of `BLOCK` consecutive ids. A block is reduced to its min-plus transition matrix (states of
@@ -36,6 +38,7 @@ from glosswork.session import cut_lineage
 BLOCK = 4096
 AGAINST_ORDER = 4.0
 SWITCH = 1.0
+FORM = 0.25
 BACKWARD = 0.5
 
 # Month names of the languages the sources write, by number.
@@ -121,17 +124,17 @@ def _utc(local: Column, zone: Column, source_zone: Column, senses: Column) -> Co
 
 
 def interpretations(value: Column, source_zone: Column, order: Column, senses: Column) -> Column:
-    """array<struct<label:string,utc_us:bigint,prior:double>> of all valid readings of `value`.
+    """array<struct<label:string,form:string,utc_us:bigint,prior:double>> of all valid readings of `value`.
 
     Each pattern that fits gives a candidate of text fields; candidates become instants in one place. The
     lambdas bind every intermediate value once, so no expression is evaluated twice a row.
     """
     v = F.regexp_replace(F.trim(value), r"\s+", " ")
-    fields = ("y", "mo", "d", "half", "h", "mi", "s", "f", "zone", "label")
+    fields = ("y", "mo", "d", "half", "h", "mi", "s", "f", "zone")
 
-    def candidate(pattern: str, names: str, label: str = "", guard: Column | None = None) -> Column:
+    def candidate(kind: str, pattern: str, names: str, label: str = "", guard: Column | None = None) -> Column:
         at = {name: F.regexp_extract(v, pattern, i + 1) for i, name in enumerate(names.split())}
-        got = [at.get(k, F.lit(label if k == "label" else "")).alias(k) for k in fields]
+        got = [at.get(k, F.lit("")).alias(k) for k in fields] + [F.lit(label).alias("label"), F.lit(kind).alias("kind")]
         fits = v.rlike(pattern) if guard is None else v.rlike(pattern) & guard
         return F.when(fits, F.struct(*got, (at["sep"] if "sep" in at else F.lit("")).alias("sep")))
 
@@ -141,18 +144,18 @@ def interpretations(value: Column, source_zone: Column, order: Column, senses: C
     han = rf"^(\d{{4}})年(\d{{1,2}})月(\d{{1,2}})日 ?(上午|下午|凌晨|早上|中午|晚上)? ?(?:{CLOCK})? ?{ZONE}$"
     numeric = rf"^(\d{{1,2}})([/.-])(\d{{1,2}})[/.-](\d{{4}}|\d{{2}})(?:[ ,T]+{CLOCK} ?(AM|PM|am|pm)?)? ?{ZONE}$"
     candidates = F.array(
-        candidate(iso, "y mo d h mi s f zone"),
-        candidate(compact, "y mo d h mi s f zone", guard=~v.rlike(r"^(\d{10}|\d{13}|\d{16}|\d{18,})$")),
-        candidate(named, "d mo y h mi s f half zone"),
-        candidate(han, "y mo d half h mi s f zone"),
-        candidate(numeric, "d sep mo y h mi s f half zone", "dmy"),
-        candidate(numeric, "mo sep d y h mi s f half zone", "mdy"),
+        candidate("iso", iso, "y mo d h mi s f zone"),
+        candidate("compact", compact, "y mo d h mi s f zone", guard=~v.rlike(r"^(\d{10}|\d{13}|\d{16}|\d{18,})$")),
+        candidate("named", named, "d mo y h mi s f half zone"),
+        candidate("han", han, "y mo d half h mi s f zone"),
+        candidate("numeric", numeric, "d sep mo y h mi s f half zone", "dmy"),
+        candidate("numeric", numeric, "mo sep d y h mi s f half zone", "mdy"),
     )
     months = F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv])
     clocks = F.transform(
         F.filter(candidates, lambda x: x.isNotNull()),
         lambda x: F.struct(
-            x["label"].alias("label"), x["sep"].alias("sep"), F.regexp_replace(x["zone"], r"[\[\]]", "").alias("zone"), _local(x, months).alias("local")
+            x["label"].alias("label"), x["sep"].alias("sep"), F.concat(x["kind"], x["sep"], x["label"]).alias("form"), F.regexp_replace(x["zone"], r"[\[\]]", "").alias("zone"), _local(x, months).alias("local")
         ),
     )
 
@@ -160,7 +163,7 @@ def interpretations(value: Column, source_zone: Column, order: Column, senses: C
         # The dotted form is day-first everywhere; with other separators the source's order decides.
         wanted = F.when(x["sep"] == ".", F.lit("dmy")).otherwise(order)
         prior = F.when((x["label"] == "") | wanted.isNull() | (wanted == x["label"]), 0.0).otherwise(AGAINST_ORDER)
-        return F.struct(x["label"].alias("label"), _utc(x["local"], x["zone"], source_zone, senses).alias("utc_us"), prior.alias("prior"))
+        return F.struct(x["label"].alias("label"), x["form"].alias("form"), _utc(x["local"], x["zone"], source_zone, senses).alias("utc_us"), prior.alias("prior"))
 
     n = v.try_cast("bigint")
     # Counts: seconds, milliseconds, microseconds, nanoseconds since 1970; 100 ns steps since 1601.
@@ -171,25 +174,24 @@ def interpretations(value: Column, source_zone: Column, order: Column, senses: C
         .when(v.rlike(r"^\d{18}$"), _div(n - F.lit(116_444_736_000_000_000), 10))
         .when(v.rlike(r"^\d{19}$"), _div(n, 1000))
     )
-    count = F.array(F.struct(F.lit("").alias("label"), counted.alias("utc_us"), F.lit(0.0).alias("prior")))
+    count = F.array(F.struct(F.lit("").alias("label"), F.lit("count").alias("form"), counted.alias("utc_us"), F.lit(0.0).alias("prior")))
     return F.filter(F.concat(count, F.transform(clocks, reading)), lambda x: x["utc_us"].isNotNull())
 
 
 LABELS = ("", "dmy", "mdy")
 
 
-def _states(labels: list, us: list, priors: list) -> list[tuple[str | None, int, float, int]]:
-    """(carried label, utc, prior, reading) of one record; a reading without order carries any earlier label on."""
-    return [(x, u, p, i) for i, (lb, u, p) in enumerate(zip(labels, us, priors)) for x in ((lb,) if lb else LABELS)]
+def _states(labels: list, us: list, priors: list, forms: list) -> list[tuple[str, int, float, str]]:
+    """(carried label, utc, prior, form) of one record; a reading without order carries any earlier label on."""
+    return [(x, u, p, f) for lb, u, p, f in zip(labels, us, priors, forms) for x in ((lb,) if lb else LABELS)]
 
 
 def _step(before: list, after: list) -> np.ndarray:
     cost = np.empty((len(before), len(after)))
-    for j, (lb, u, p, _) in enumerate(after):
-        own = p
-        for i, (la, t, _, _) in enumerate(before):
-            change = SWITCH if la and lb and la != lb else 0.0
-            cost[i, j] = own + change + (BACKWARD if u < t else 0.0)
+    for j, (lb, u, p, f) in enumerate(after):
+        for i, (la, t, _, g) in enumerate(before):
+            change = (SWITCH if la and lb and la != lb else 0.0) + (FORM if f != g else 0.0)
+            cost[i, j] = p + change + (BACKWARD if u < t else 0.0)
     return cost
 
 
@@ -198,7 +200,7 @@ def _carry(labels: list) -> bool:
 
 
 def _block_paths(rows: list[tuple]) -> tuple[list, list, np.ndarray, list[np.ndarray], list[list]]:
-    """Min-plus matrix of a block and its back pointers. rows: (labels, us, priors) in order."""
+    """Min-plus matrix of a block and its back pointers. rows: (labels, us, priors, forms) in order."""
     states = [_states(*r) for r in rows]
     first = states[0]
     total = np.full((len(first), len(first)), np.inf)
@@ -218,7 +220,7 @@ def _block_paths(rows: list[tuple]) -> tuple[list, list, np.ndarray, list[np.nda
 
 
 def _rows(g: pd.DataFrame) -> list[tuple]:
-    return [([r["label"] for r in x], [int(r["utc_us"]) for r in x], [float(r["prior"]) for r in x]) for x in g["readings"]]
+    return [([r["label"] for r in x], [int(r["utc_us"]) for r in x], [float(r["prior"]) for r in x], [r["form"] for r in x]) for x in g["readings"]]
 
 
 def _thin(g: pd.DataFrame) -> pd.DataFrame:
@@ -236,12 +238,11 @@ def _thin(g: pd.DataFrame) -> pd.DataFrame:
 def _summary(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
     g = _thin(g)
     first, last, total, _, _ = _block_paths(_rows(g))
-    flat = lambda s: ([x[0] for x in s], [x[1] for x in s], [x[2] for x in s])
-    (fl, fu, fp), (ll, lu, _) = flat(first), flat(last)
+    (fl, fu, fp, ff), (ll, lu, _, lf) = ([list(c) for c in zip(*s)] for s in (first, last))
     carries = _carry([r["label"] for r in g["readings"].iloc[0]])
     return pd.DataFrame(
-        [(key[0], key[1], key[2], fl, fu, fp, ll, lu, carries, total.ravel().tolist())],
-        columns=["record", "source_id", "block", "fl", "fu", "fp", "ll", "lu", "carries", "cost"],
+        [(key[0], key[1], key[2], fl, fu, fp, ff, ll, lu, lf, carries, total.ravel().tolist())],
+        columns=["record", "source_id", "block", "fl", "fu", "fp", "ff", "ll", "lu", "lf", "carries", "cost"],
     )
 
 
@@ -259,7 +260,7 @@ def _chain(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
             come = np.zeros(nf, dtype=int)
         else:
             prev = blocks[k - 1]
-            step = _step(list(zip(prev.ll, prev.lu, [0.0] * len(prev.ll), [0] * len(prev.ll))), list(zip(b.fl, b.fu, b.fp, [0] * nf)))
+            step = _step(list(zip(prev.ll, prev.lu, [0.0] * len(prev.ll), prev.lf)), list(zip(b.fl, b.fu, b.fp, b.ff)))
             if b.carries:
                 step[np.array(prev.ll, dtype=object)[:, None] != np.array(b.fl, dtype=object)[None, :]] = np.inf
             all_ = best[:, None] + step
@@ -293,8 +294,8 @@ def choose_readings(df: DataFrame, block: int = BLOCK) -> DataFrame:
     """Viterbi over the records of each (record, source_id) by record_id.
 
     df: record, source_id, record_id (unique in its record kind), readings. Records without a reading
-    have no row; records of a source without any ambiguous value keep their only reading and stay out of
-    the pass (their path is forced), so Python sees ambiguous sources only.
+    have no row; records with one reading keep it in SQL, and take part in the pass as what stands before
+    and after the others.
     """
     df = df.filter(F.size("readings") > 0)
     one = df.filter(F.size("readings") == 1).select("record", "record_id", F.col("readings")[0]["utc_us"].alias("utc_us"))
@@ -303,8 +304,8 @@ def choose_readings(df: DataFrame, block: int = BLOCK) -> DataFrame:
     keys = ["record", "source_id", "block"]
     summaries = several.groupBy(*keys).applyInPandas(
         _summary,
-        "record string, source_id bigint, block bigint, fl array<string>, fu array<bigint>, fp array<double>,"
-        " ll array<string>, lu array<bigint>, carries boolean, cost array<double>",
+        "record string, source_id bigint, block bigint, fl array<string>, fu array<bigint>, fp array<double>, ff array<string>,"
+        " ll array<string>, lu array<bigint>, lf array<string>, carries boolean, cost array<double>",
     )
     chosen = summaries.groupBy("record", "source_id").applyInPandas(
         _chain, "record string, source_id bigint, block bigint, entry int, exit int"

@@ -76,6 +76,30 @@ def test_unknown_order_follows_its_neighbours(spark):
     assert instants(spark, values, "UTC", "") == [us(2024, 2, 13), us(2024, 4, 3), us(2024, 4, 25), us(2024, 5, 2)]
 
 
+def least_prior(spark, values):
+    """What the readings alone give, without the pass."""
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    read = timestamps.interpretations(F.col("v"), F.lit("UTC"), F.lit(None).cast("string"), F.create_map(F.lit("x"), F.lit(1)))
+    got = {r.i: r.r for r in rows.select("i", read.alias("r")).collect()}
+    return [min(got[i], key=lambda x: x["prior"])["utc_us"] for i in range(len(values))]
+
+
+@pytest.mark.parametrize(
+    ("values", "want"),
+    [
+        (["01/25/2024 00:00", "02/03/2024 00:00", "02/20/2024 00:00"], [us(2024, 1, 25), us(2024, 2, 3), us(2024, 2, 20)]),  # the order of what stands around
+        (["2024-06-01 00:00", "07/06/2024 00:00", "2024-07-08 00:00", "09/07/2024 00:00"], [us(2024, 6, 1), us(2024, 7, 6), us(2024, 7, 8), us(2024, 9, 7)]),  # time does not run backwards
+    ],
+)
+def test_the_pass_decides_without_a_set_order(spark, values, want):
+    assert instants(spark, values, "UTC", "") == want != least_prior(spark, values)
+    assert instants(spark, values, "UTC", "mdy") == want
+
+
+def test_a_set_order_is_kept(spark):
+    assert instants(spark, ["01/25/2024 00:00", "02/03/2024 00:00", "02/20/2024 00:00"], "UTC", "dmy")[1] == us(2024, 3, 2)
+
+
 def test_blocks_agree_with_one_pass(spark):
     values = [f"{1 + i % 12:02d}/{1 + (i * 5) % 12:02d}/2024 0{i % 10}:00" for i in range(60)] + ["25/01/2024 00:00"]
     facts = spark.createDataFrame([("document", i, 1, v) for i, v in enumerate(values)], "record string, record_id bigint, source_id bigint, value string")
