@@ -6,10 +6,11 @@ finding it. Rows delivered twice stay twice: the caller decides.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glosswork.functions.text import effective_length, line_key
+from glosswork.functions.text import bound, effective_length, line_key
+from glosswork.session import cut_lineage
 
 MIN_PAGES, LONGEST, SHORTEST_WORD, SHORTEST_PART = 3, 120, 4, 6
 
@@ -25,8 +26,12 @@ def furniture_lines(segments: DataFrame, min_pages: int = MIN_PAGES) -> DataFram
 
 def furniture_vocabulary(segments: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """doc_id, word: words of at least four letters in repeated lines, headers and footers."""
+    return _vocabulary(segments, furniture_lines(segments, min_pages))
+
+
+def _vocabulary(segments: DataFrame, found: DataFrame) -> DataFrame:
     stated = segments.filter(F.col("kind").isin("header", "footer")).select("doc_id", line_key(F.col("text")).alias("key"))
-    lines = furniture_lines(segments, min_pages).select("doc_id", "key").unionByName(stated)
+    lines = found.select("doc_id", "key").unionByName(stated)
     words = lines.select("doc_id", F.explode(F.split("key", " ")).alias("word"))
     return words.filter(F.length("word") >= SHORTEST_WORD).distinct()
 
@@ -34,18 +39,18 @@ def furniture_vocabulary(segments: DataFrame, min_pages: int = MIN_PAGES) -> Dat
 def content_segments(segments: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """Segments without furniture: repeated lines go whole, furniture words go from the rest, and what has no letter or
     digit left goes too. One vocabulary array a document; words are tested against it in place, never joined."""
-    vocabulary = furniture_vocabulary(segments, min_pages).groupBy("doc_id").agg(F.sort_array(F.collect_set("word")).alias("vocabulary"))
-    lines = furniture_lines(segments, min_pages).select("doc_id", "key")
+    found = cut_lineage(furniture_lines(segments, min_pages))  # keys of short lines, read for the words and for the lines
+    vocabulary = _vocabulary(segments, found).groupBy("doc_id").agg(F.sort_array(F.collect_set("word")).alias("vocabulary"))
+    lines = found.select("doc_id", "key")
     rest = segments.filter(~F.coalesce(F.col("kind"), F.lit("")).isin("header", "footer")).withColumn("key", line_key(F.col("text")))
     rest = rest.join(lines, ["doc_id", "key"], "left_anti").join(vocabulary, "doc_id", "left")
 
-    def is_furniture(word):  # noqa: ANN001, ANN202
-        bare = F.lower(F.regexp_replace(word, r"[^\p{L}]", ""))
-        part = F.exists(
-            F.col("vocabulary"),
-            lambda v: (v == bare) | ((F.length(bare) >= SHORTEST_PART) & (F.length(v) >= SHORTEST_PART) & (F.contains(v, bare) | F.contains(bare, v))),
-        )
-        return (bare != "") & part
+    def is_furniture(word: Column) -> Column:
+        def among(bare: Column) -> Column:
+            part = lambda v: (F.length(bare) >= SHORTEST_PART) & (F.length(v) >= SHORTEST_PART) & (F.contains(v, bare) | F.contains(bare, v))
+            return (bare != "") & F.exists(F.col("vocabulary"), lambda v: (v == bare) | part(v))
+
+        return bound(F.lower(F.regexp_replace(word, r"[^\p{L}]", "")), among)
 
     kept = F.array_join(F.filter(F.split(F.trim("text"), r"\s+"), lambda w: ~is_furniture(w)), " ")
     text = F.when(F.col("vocabulary").isNull(), F.col("text")).otherwise(kept)

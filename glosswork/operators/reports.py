@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SECRETS = ["password", "secret", "token", "key", "authorization"]
-
-
 def contains_term(term: str, *columns: str) -> Column:
     """Whether any column contains the term, whatever its case; a blank term fits all."""
     if not term.strip():
@@ -63,6 +60,27 @@ def settings(defaults: DataFrame, stored: DataFrame) -> DataFrame:
     return defaults.join(last, "key", "left").select("key", F.coalesce("stored", "value").alias("value"), "type", F.col("stored").isNotNull().alias("overridden"))
 
 
+def settings_after(stored: DataFrame, changes: DataFrame) -> DataFrame:
+    """key, value: stored settings after changes (key, value, id); the last change of a key wins, new keys are added."""
+    rows = stored.select("key", "value", F.lit(-1).cast("bigint").alias("id")).unionByName(changes.select("key", "value", F.col("id").cast("bigint").alias("id")))
+    return rows.groupBy("key").agg(F.max_by("value", "id").alias("value"))
+
+
+def typed(value: Column, kind: str) -> Column:
+    """A setting's text as bool, int or array (JSON) of its type; null where it does not fit."""
+    low = F.lower(F.trim(value))
+    cases = {
+        "boolean": F.when(low.isin("1", "true", "on", "yes"), True).when(low.isin("0", "false", "off", "no", ""), False),
+        "integer": F.trim(value).try_cast("int"), "json": F.from_json(value, "array<string>"),
+    }
+    return cases.get(kind, value)
+
+
+def once_by_hash(rows: DataFrame, hash_: str, *facts: str) -> DataFrame:
+    """What is computed from content needs one row a content: the first by its columns' order stands for all equal ones."""
+    return rows.filter(F.col(hash_).isNotNull()).groupBy(hash_).agg(*[F.min(c).alias(c) for c in facts], F.count("*").alias("files"))
+
+
 def shifted(rows: DataFrame, columns: list[str], minutes: int) -> DataFrame:
     """Rows with the named timestamps moved; all others as they are."""
     step = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes))

@@ -17,6 +17,28 @@ from glosswork.functions.text import letters
 BODY = "(document body)"
 
 
+def once(segments: DataFrame) -> DataFrame:
+    """Segments delivered twice once, all of a document together: the one exchange that operators by document need."""
+    return segments.repartition("doc_id").dropDuplicates(["doc_id", "seg_id"])
+
+
+def segments_of(report: DataFrame, segments: DataFrame) -> DataFrame:
+    """doc_id, sequence, seg_id: the segments of each section of a report (doc_id, sequence, name, page): those on its page if
+    it has a page with any, else those under its name. Null names and labels count as empty."""
+    own = segments.select("doc_id", F.col("page").alias("at"), F.coalesce("section", F.lit("")).alias("label"), "seg_id").distinct()
+    asked = report.select("doc_id", "sequence", F.coalesce("name", F.lit("")).alias("name"), "page").distinct()
+    by_page = asked.join(own, (asked["doc_id"] == own["doc_id"]) & (asked["page"] == own["at"])).select(asked["doc_id"], "sequence", "seg_id")
+    rest = asked.join(by_page.select("doc_id", "sequence").distinct(), ["doc_id", "sequence"], "left_anti")
+    by_name = rest.join(own.withColumnRenamed("label", "name"), ["doc_id", "name"]).select("doc_id", "sequence", "seg_id")
+    return by_page.unionByName(by_name)
+
+
+def in_page_order(segments: DataFrame) -> DataFrame:
+    """Segments with `position` in their document: by page, pageless first, and on a page in their order."""
+    order = Window.partitionBy("doc_id").orderBy(F.coalesce("page", F.lit(0)), "seg_index", "seg_id")
+    return segments.withColumn("position", F.row_number().over(order))
+
+
 def numbered(segments: DataFrame) -> DataFrame:
     """Segments with `sequence` and `section_name`: gaps and islands in one partitioning by document."""
     doc = Window.partitionBy("doc_id").orderBy("seg_index", "seg_id")

@@ -26,12 +26,15 @@ def local_session(cores: str = "8", shuffle: int = 8, memory: str = "8g") -> Spa
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared folder that the session names in spark.checkpoint.dir.
 
-    Where the setting is absent (single-machine tests) a private folder is set once. Nothing here
-    uses executor-local checkpoints, so a lost executor costs no lineage.
+    Where the setting is absent a private folder is set once on a single machine; on a cluster, whose
+    machines do not share one, it is an error. Nothing here uses executor-local checkpoints, so a lost
+    executor costs no lineage.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = sc.getConf().get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="glosswork-checkpoint-"))
     return df.checkpoint(eager=True)

@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EXTENSIONS = ("docx", "pdf", "xlsx", "txt", "md")
-DENIED = ("exe", "bat", "cmd", "js", "vbs", "ps1", "sh", "com", "scr", "msi", "dll", "jar", "php", "html", "svg")
+# Extensions that no upload may have.
+DENIED = ("exe", "bat", "cmd", "ps1", "psm1", "msi", "dll", "js", "jse", "vbs", "vbe", "com", "scr", "cpl", "jar", "hta", "lnk", "reg", "sh", "php", "phar", "py", "wsf", "msc", "pif")
 MAX_DEPTH, MAX_FILES, MAX_BYTES = 12, 20_000, 512 * 1024 * 1024
 SEGMENT = "path string, seg_index int, text string, kind string, page int, section string, font_colors array<string>"
 LINE_BREAKS = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85\x{2028}\x{2029}]"
@@ -143,10 +144,13 @@ def _xlsx(content: bytes, cap: int = 500_000) -> Iterator[tuple]:
         for c in ElementTree.fromstring(archive.read(path)).iter(f"{S}c") if path in names else ():
             cells += 1
             if cells >= cap:
+                yield f"the sheet has more than {cap} cells; the rest was left out", "note", None, sheet.get("name"), []
                 return
             value = c.find(f"{S}v")
             if c.get("t") == "s" and value is not None:
                 text = shared[int(value.text)].strip()
+            elif c.get("t") == "str" and value is not None:  # the text that a formula gave
+                text = (value.text or "").strip()
             elif c.get("t") == "inlineStr":
                 text = "".join(t.text or "" for t in c.iter(f"{S}t")).strip()
             else:
@@ -166,13 +170,16 @@ PARSERS = {"docx": _docx, "xlsx": _xlsx, "txt": _txt, "text": _txt, "md": _txt}
 
 
 def parse(files: DataFrame) -> DataFrame:
-    """Segments of files (path, content); unknown kinds of file give an error row."""
+    """Segments of files (path, content); unknown kinds of file, and files over MAX_BYTES, give an error row. Rows of kind
+    "note" say what was left out or guessed."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for path, content in zip(b["path"], b["content"]):
                 parser = PARSERS.get(path.rpartition(".")[2].lower())
                 try:
+                    if len(content) > MAX_BYTES:
+                        raise ValueError("larger than the limit")
                     rows = list(parser(bytes(content))) if parser else [("unsupported format", "error", None, None, [])]
                 except Exception as e:  # a broken file is a row, not a failure
                     rows = [(f"{type(e).__name__}: {e}", "error", None, None, [])]
@@ -181,7 +188,7 @@ def parse(files: DataFrame) -> DataFrame:
                 out.insert(1, "seg_index", range(len(out)))
                 yield out.astype({"page": "Int32"})
 
-    return files.filter((F.octet_length("content") > 0) & (F.octet_length("content") <= MAX_BYTES)).select("path", "content").mapInPandas(run, SEGMENT)
+    return files.filter(F.octet_length("content") > 0).select("path", "content").mapInPandas(run, SEGMENT)
 
 
 def text_lines(documents: DataFrame) -> DataFrame:

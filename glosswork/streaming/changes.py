@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -32,6 +32,8 @@ def latest(events: DataFrame, key: list[str] | None = None, order: str = "id") -
     return events.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
-def stalled(events: DataFrame, status: str, since: str, hours: int) -> DataFrame:
-    """Rows in a status for longer than `hours` before the stream's newest time; late rows are taken up to that bound."""
-    return events.withWatermark(since, f"{hours} hours").filter(F.col("status") == status)
+def stalled(events: DataFrame, status: str, since: str, hours: int, now: Column | None = None, column: str = "status") -> DataFrame:
+    """Rows in a status for longer than `hours` (at least one) before `now`, by default the time of the batch. A null time is
+    no age. On a stream this is a filter without state."""
+    cutoff = (now if now is not None else F.current_timestamp()) - F.make_dt_interval(F.lit(0), F.lit(max(hours, 1)))
+    return events.filter((F.col(column) == status) & (F.col(since) < cutoff))

@@ -88,7 +88,7 @@ def least_prior(spark, values):
     ("values", "want"),
     [
         (["01/25/2024 00:00", "02/03/2024 00:00", "02/20/2024 00:00"], [us(2024, 1, 25), us(2024, 2, 3), us(2024, 2, 20)]),  # the order of what stands around
-        (["2024-06-01 00:00", "07/06/2024 00:00", "2024-07-08 00:00", "09/07/2024 00:00"], [us(2024, 6, 1), us(2024, 7, 6), us(2024, 7, 8), us(2024, 9, 7)]),  # time does not run backwards
+        (["2024-06-10 00:00", "07/06/2024 00:00", "2024-07-08 00:00", "09/07/2024 00:00"], [us(2024, 6, 10), us(2024, 7, 6), us(2024, 7, 8), us(2024, 9, 7)]),  # time does not run backwards
     ],
 )
 def test_the_pass_decides_without_a_set_order(spark, values, want):
