@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glosswork.session import cut_lineage
+
 EXTENSIONS = ("docx", "pdf", "xlsx", "txt", "md")
 # Extensions that no upload may have.
 DENIED = ("exe", "bat", "cmd", "ps1", "psm1", "msi", "dll", "js", "jse", "vbs", "vbe", "com", "scr", "cpl", "jar", "hta", "lnk", "reg", "sh", "php", "phar", "py", "wsf", "msc", "pif")
@@ -60,7 +62,8 @@ def remote_listing(pages: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     levels = [level]
     for _ in range(max_depth):
         folders = level.filter(F.col("folder").isNotNull()).select(F.col("id").alias("folder_id"), F.col("relative_path").alias("parent"))
-        level = items.join(folders, "folder_id").withColumn("relative_path", F.concat_ws("/", "parent", "name")).drop("parent")
+        # written once, so a level is not made again from the root for every level under it
+        level = cut_lineage(items.join(folders, "folder_id").withColumn("relative_path", F.concat_ws("/", "parent", "name")).drop("parent"))
         if level.isEmpty():
             break
         levels.append(level)
@@ -71,8 +74,10 @@ def remote_listing(pages: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     )
 
 
-def upload_check(files: DataFrame, max_kilobytes: int = 65_536) -> DataFrame:
-    """file_name, accepted, reason of files (file_name, content): refused by deny list, allow list, size, or leading bytes."""
+def upload_check(files: DataFrame, max_kilobytes: int = 65_536, members: bool = False) -> DataFrame:
+    """file_name, accepted, reason of files (file_name, content): refused by deny list, allow list, size, or leading bytes; with
+    `members` also archives without the part that makes them a document or a workbook (its name stands in the archive as it is),
+    and texts with a zero byte."""
     ext, head = extension(F.col("file_name")), F.hex(F.substring("content", 1, 5))
     office, pdf = F.lit("504B0304"), F.lit("255044462D")
     reason = (
@@ -83,6 +88,9 @@ def upload_check(files: DataFrame, max_kilobytes: int = 65_536) -> DataFrame:
         .when((ext == "pdf") & (head != pdf), "not a PDF")
         .when(ext.isin("docx", "xlsx") & ~F.startswith(head, office), "not an archive")
     )
+    if members:
+        lacks = lambda part: ~F.contains(F.col("content"), F.lit(bytearray(part)))
+        reason = F.coalesce(reason, F.when((ext == "docx") & lacks(b"word/document.xml"), "not a document").when((ext == "xlsx") & lacks(b"xl/workbook.xml"), "not a workbook").when((ext == "txt") & ~lacks(b"\x00"), "not a text"))
     return files.select("file_name", reason.isNull().alias("accepted"), reason.alias("reason"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from glosswork.functions import text as X
 from glosswork.operators import attribution, issues, reports, rules, sections, versions
-from glosswork.sources import adapters, sinks
+from glosswork.sources import adapters, files, sinks
 from glosswork.streaming import changes
 
 
@@ -46,6 +46,12 @@ def test_library_source(spark, library, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t" / "uploads")).count() == 1
 
 
+def test_upload_members(spark):
+    made = [("a.docx", b"PK\x03\x04..word/document.xml"), ("b.docx", b"PK\x03\x04xl/workbook.xml"), ("c.xlsx", b"PK\x03\x04xl/workbook.xml"), ("d.txt", b"a\x00b"), ("e.txt", b"ab"), ("f.phar", b"x")]
+    got = files.upload_check(spark.createDataFrame(made, "file_name string, content binary"), members=True)
+    assert {r.file_name: r.reason for r in got.collect()} == {"a.docx": None, "b.docx": "not a document", "c.xlsx": None, "d.txt": "not a text", "e.txt": None, "f.phar": "denied extension"}
+
+
 def test_sinks_and_payload(spark, tmp_path):
     tallies = spark.createDataFrame([(1, "en", 5, 1, 2.0), (1, "en", 5, 1, 2.0), (2, None, 1, None, None)], "doc_id bigint, language string, characters int, words int, confidence double")
     report = spark.createDataFrame([(1, "A", 1, ["zh"], None)], "doc_id bigint, name string, sequence int, missing array<string>, short array<string>")

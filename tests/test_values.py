@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 import zoneinfo
 
 import pytest
@@ -31,6 +32,27 @@ def test_unmatched_uses_each_counterpart_once(spark):
     assert [x.raw for x in row.x] == ["6.5 mg"]
 
 
+def test_unmatched_against_brute_force(spark):
+    rng, pool = random.Random(3), ["6.5 mg", "6,5 kg", "6.500 mg", "6500 g", "6,500 kg", "12 bar", "１２ bar", "pH 7"]
+    rows = [(" und ".join(rng.choices(pool, k=rng.randint(0, 6))), " und ".join(rng.choices(pool, k=rng.randint(0, 6)))) for _ in range(120)]
+    m = measurements.measurements
+    df = spark.createDataFrame(rows, "a string, b string").select(m(F.col("a")).alias("a"), m(F.col("b")).alias("b"))
+    for r in df.select("a", "b", measurements.unmatched(F.col("a"), F.col("b")).alias("x")).collect():
+        left, missing = [set(o["values"]) for o in r.b], []
+        for one in r.a:
+            hit = next((k for k, o in enumerate(left) if o & set(one["values"])), None)
+            if hit is None:
+                missing.append(one["raw"])
+            else:
+                left.pop(hit)
+        assert [x["raw"] for x in r.x] == missing
+
+
+@pytest.mark.parametrize(("text", "unit"), [("5\u205fbar", "bar"), ("54.\u200c0 kg", "kg"), ("3 ㎎", "mg"), ("10³ kPa", "kpa")])
+def test_units_behind_any_blank(spark, text, unit):
+    assert [u for _, u in found(spark, text)] == [unit]
+
+
 @pytest.mark.parametrize(("en", "id_", "zh", "score", "status"), [(500, 480, 300, 100.0, "PASS"), (8000, 900, 1000, 81.79, "PASS"), (16000, 120, 1000, 65.97, "PARTIAL"), (500, 0, 0, 33.33, "FAIL"), (500, 40, 300, 72.22, "PARTIAL")])
 def test_scores(spark, en, id_, zh, score, status):
     rows = spark.createDataFrame([(1, "en", en), (1, "id", id_), (1, "zh", zh), (1, None, 7)], "doc_id bigint, language string, characters int")
