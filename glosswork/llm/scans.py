@@ -21,7 +21,7 @@ from __future__ import annotations
 import difflib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from glosswork.llm.groups import in_groups, together
 from glosswork.llm.text_forms import transducer
 from glosswork.session import cut_lineage
 
@@ -385,6 +386,24 @@ def _stamps(pages: DataFrame) -> frozenset:
     return frozenset(out)
 
 
+class Rows:
+    """Rows of many groups as frames of some thousand."""
+
+    def __init__(self, schema: str):
+        self.schema, self.found = [c.split() for c in schema.split(", ")], []
+
+    def add(self, rows: Iterable[tuple]) -> Iterator[pd.DataFrame]:
+        self.found.extend(rows)
+        if len(self.found) >= 5000:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pd.DataFrame]:
+        frame = pd.DataFrame(self.found, columns=[n for n, _ in self.schema])
+        self.found = []
+        yield frame.astype({n: "Int32" for n, kind in self.schema if kind == "int"})
+
+
+PAGE = "doc_id bigint, page int, text string, lines array<int>"
 LINE = "doc_id bigint, page int, line_no int, label string, words array<string>, divided string, rest string, rest_page int, rest_line int, rest_all string, contexts array<string>"
 
 
@@ -435,13 +454,16 @@ def featured(pages: DataFrame) -> DataFrame:
     own = pages.select("doc_id", "page", "text").filter(F.length("text") > 0).dropDuplicates(["doc_id", "page"])
     shared = pages.sparkSession.sparkContext.broadcast(_stamps(own))  # fewer than (short lines a document) / STAMP_SHARE
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("page")
-        rows = page_features([x.split("\n") for x in g["text"]], g["page"].tolist(), shared.value)
-        return pd.DataFrame({"doc_id": g["doc_id"], "page": g["page"], "text": g["text"], "lines": [bits(r) for r in rows]})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for (doc, _), g in in_groups(batches, ["doc_id", "block"]):
+            texts, numbers = g["text"].tolist(), g["page"].tolist()
+            found = zip(numbers, texts, map(bits, page_features([x.split("\n") for x in texts], numbers, shared.value)))
+            yield from out.add([(doc, *x) for x in found])
+        yield from out.rest()
 
-    block = F.floor(F.col("page") / BLOCK_PAGES).alias("block")
-    return own.groupBy("doc_id", block).applyInPandas(run, "doc_id bigint, page int, text string, lines array<int>")
+    out = Rows(PAGE)
+    pages_ = own.withColumn("block", F.floor(F.col("page") / BLOCK_PAGES))
+    return together(pages_, ["doc_id", "block"], "page").mapInPandas(run, PAGE)
 
 
 def trained(rows: DataFrame, rounds: int = ROUNDS) -> LineModel:
@@ -453,7 +475,7 @@ def trained(rows: DataFrame, rounds: int = ROUNDS) -> LineModel:
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             total: Counter = Counter()
             for b in batches:
-                total.update(shared.value.counts([list(x) for x in b["lines"]]))
+                total.update(shared.value.counts([x.tolist() for x in b["lines"]]))
             yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["kind", "x", "y", "n"])
 
         counts = rows.select("lines").mapInPandas(run, "kind string, x string, y string, n bigint").groupBy("kind", "x", "y").agg(F.sum("n").alias("n"))
@@ -466,15 +488,15 @@ def labelled_lines(pages: DataFrame) -> DataFrame:
     rows = cut_lineage(featured(pages))  # read by every round of training and by the labels
     shared = pages.sparkSession.sparkContext.broadcast(trained(rows))
 
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("page")
-        mine = {p for p in g["page"] if p // BLOCK_PAGES == key[1]}
-        labels = [shared.value.label(list(x)) for x in g["lines"]]
-        found = list(_doc_lines(int(key[0]), list(zip(g["page"].tolist(), g["text"])), labels, mine))
-        out = pd.DataFrame(found, columns=[c.split()[0] for c in LINE.split(", ")])
-        return out.astype({"rest_page": "Int32", "rest_line": "Int32"})
-
-    return _blocks(rows).groupBy("doc_id", "block").applyInPandas(run, LINE)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for (doc, block), g in in_groups(batches, ["doc_id", "block"]):
+            numbers = g["page"].tolist()
+            labels = [shared.value.label(x.tolist()) for x in g["lines"]]
+            yield from out.add(_doc_lines(doc, list(zip(numbers, g["text"])), labels, {p for p in numbers if p // BLOCK_PAGES == block}))
+        yield from out.rest()
+
+    out = Rows(LINE)
+    return together(_blocks(rows), ["doc_id", "block"], "page").mapInPandas(run, LINE)
 
 
 def _judged(words: DataFrame, counts: DataFrame) -> DataFrame:
