@@ -38,26 +38,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 # ---- problem 5 ----
 
 
-_N = r"[0-9]{1,3}(?:[.,\s\p{Z}][0-9]{3})+(?:[.,][0-9]+)?|[0-9]+(?:[.,][0-9]+)?"
-_U = (
-    r"立方米|摄氏度|ms/cm|µs/cm|us/cm|mg/l|mg/kg|meq/l|毫米|厘米|千米|公里|毫克|千克|公斤|毫升|千帕|兆帕|ppm|ppb|phr|kpa|mpa|bar|psi|atm|ntu|rpm|lpm|gpm|g/l|m/s|°c|°f|mg|kg|µg|ug|ml|m3|mm|cm|km|kw|kwh|mw|hp|kv|ma|hz|"
-    r"米|克|吨|升|度|帕|巴|℃|℉|%|‰|g|t|l|m|v|a"
-)
-_W = r"\p{L}\p{N}_"
-# Without looking back: a mark before every place where a measurement may begin, and one in front of it for what ends before.
-_MEASURED = rf"""f0 AS (SELECT seg_id, translate(coalesce(text, ''), '０１２３４５６７８９，．、％：／　⁰¹²³⁴⁵⁶⁷⁸⁹₀₁₂₃₄₅₆₇₈₉μ', '0123456789,.,%:/ 01234567890123456789µ') AS t FROM {ONCE}),
-f AS (SELECT seg_id, {"replace(" * 18}t, '℃', '°C'), '℉', '°F'), '㎎', 'mg'), '㎏', 'kg'), '㎍', 'µg'), '㎜', 'mm'), '㎝', 'cm'), '㎞', 'km'), '㎡', 'm2'), '㎥', 'm3'), '㎖', 'ml'), 'ℓ', 'l'), '㎾', 'kW'), '㎸', 'kV'), '㎃', 'mA'), '㎐', 'Hz'), '㎪', 'kPa'), '㎫', 'MPa') AS t FROM f0),
-p AS (SELECT seg_id, regexp_replace(t, '(^|[^{_W}])([pP][hH])', '\1⟧⟦\2', 'g') AS t FROM f),
-q AS (SELECT seg_id, regexp_extract_all(t, '(?i)⟦(ph[\s\p{{Z}}]*(?:{_N}))(?:$|[^A-Za-z0-9])', 1) AS ph, replace(replace(regexp_replace(t, '(?i)⟦ph[\s\p{{Z}}]*(?:{_N})($|[^A-Za-z0-9])', ' \1', 'g'), '⟧', ''), '⟦', '') AS t FROM p),
-r AS (SELECT seg_id, ph, regexp_extract_all(regexp_replace(t, '(^|[^{_W}.,])([0-9])', '\1⟧⟦\2', 'g'), '(?i)⟦((?:{_N})[\s\p{{Z}}]*(?:{_U}))(?:$|[^A-Za-z0-9])', 1) AS rest FROM q),
-m AS (SELECT seg_id, unnest(list_concat(list_transform(ph, lambda x: {{'raw': x, 'unit': 'ph'}}), list_transform(rest, lambda x: {{'raw': x, 'unit': lower(trim(regexp_replace(x, '^(?:{_N})[\s\p{{Z}}]*', '')))}}))) AS x, generate_subscripts(list_concat(ph, rest), 1) - 1 AS no FROM r),
-n AS (SELECT seg_id, no, x.raw AS raw, x.unit AS unit, regexp_replace(regexp_extract(x.raw, '{_N}'), '[\s\p{{Z}}]', '', 'g') AS n FROM m),
-d AS (SELECT *, length(n) - length(replace(n, '.', '')) AS dots, length(n) - length(replace(n, ',', '')) AS commas, replace(replace(n, '.', ''), ',', '') AS joined, replace(n, ',', '.') AS point FROM n),
-v AS (SELECT seg_id, CAST(no AS INT) AS no, raw, CASE WHEN dots > 0 AND commas > 0 THEN [TRY_CAST(CASE WHEN instr(reverse(n), ',') < instr(reverse(n), '.') THEN replace(replace(n, '.', ''), ',', '.') ELSE replace(n, ',', '') END AS DOUBLE)]
-  WHEN dots + commas = 0 THEN [TRY_CAST(n AS DOUBLE)] WHEN dots + commas > 1 THEN [TRY_CAST(joined AS DOUBLE)] WHEN regexp_matches(n, '[.,][0-9]{{3}}$') THEN [TRY_CAST(joined AS DOUBLE), TRY_CAST(point AS DOUBLE)] ELSE [TRY_CAST(point AS DOUBLE)] END AS values, unit FROM d)"""
-
-
-@query(f"WITH {_MEASURED} SELECT seg_id, no, raw, values, unit FROM v")
+@query()
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     names = ("documents", "document_versions", "scan_logs", "document_sources")
     return timestamps.library_instants(*(table(spark, root, n) for n in names))
@@ -331,50 +312,12 @@ def _judged(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     return cut_lineage(rows), docs
 
 
-_N = r"[0-9]{1,3}(?:[.,\s\p{Z}][0-9]{3})+(?:[.,][0-9]+)?|[0-9]+(?:[.,][0-9]+)?"
-_U = (
-    r"立方米|摄氏度|ms/cm|µs/cm|us/cm|mg/l|mg/kg|meq/l|毫米|厘米|千米|公里|毫克|千克|公斤|毫升|千帕|兆帕|ppm|ppb|phr|kpa|mpa|bar|psi|atm|ntu|rpm|lpm|gpm|g/l|m/s|°c|°f|mg|kg|µg|ug|ml|m3|mm|cm|km|kw|kwh|mw|hp|kv|ma|hz|"
-    r"米|克|吨|升|度|帕|巴|℃|℉|%|‰|g|t|l|m|v|a"
-)
-_W = r"\p{L}\p{N}_"
-# Without looking back: a mark before every place where a measurement may begin, and one in front of it for what ends before.
-_MEASURED = rf"""f0 AS (SELECT seg_id, translate(coalesce(text, ''), '０１２３４５６７８９，．、％：／　⁰¹²³⁴⁵⁶⁷⁸⁹₀₁₂₃₄₅₆₇₈₉μ', '0123456789,.,%:/ 01234567890123456789µ') AS t FROM {ONCE}),
-f AS (SELECT seg_id, {"replace(" * 18}t, '℃', '°C'), '℉', '°F'), '㎎', 'mg'), '㎏', 'kg'), '㎍', 'µg'), '㎜', 'mm'), '㎝', 'cm'), '㎞', 'km'), '㎡', 'm2'), '㎥', 'm3'), '㎖', 'ml'), 'ℓ', 'l'), '㎾', 'kW'), '㎸', 'kV'), '㎃', 'mA'), '㎐', 'Hz'), '㎪', 'kPa'), '㎫', 'MPa') AS t FROM f0),
-p AS (SELECT seg_id, regexp_replace(t, '(^|[^{_W}])([pP][hH])', '\1⟧⟦\2', 'g') AS t FROM f),
-q AS (SELECT seg_id, regexp_extract_all(t, '(?i)⟦(ph[\s\p{{Z}}]*(?:{_N}))(?:$|[^A-Za-z0-9])', 1) AS ph, replace(replace(regexp_replace(t, '(?i)⟦ph[\s\p{{Z}}]*(?:{_N})($|[^A-Za-z0-9])', ' \1', 'g'), '⟧', ''), '⟦', '') AS t FROM p),
-r AS (SELECT seg_id, ph, regexp_extract_all(regexp_replace(t, '(^|[^{_W}.,])([0-9])', '\1⟧⟦\2', 'g'), '(?i)⟦((?:{_N})[\s\p{{Z}}]*(?:{_U}))(?:$|[^A-Za-z0-9])', 1) AS rest FROM q),
-m AS (SELECT seg_id, unnest(list_concat(list_transform(ph, lambda x: {{'raw': x, 'unit': 'ph'}}), list_transform(rest, lambda x: {{'raw': x, 'unit': lower(trim(regexp_replace(x, '^(?:{_N})[\s\p{{Z}}]*', '')))}}))) AS x, generate_subscripts(list_concat(ph, rest), 1) - 1 AS no FROM r),
-n AS (SELECT seg_id, no, x.raw AS raw, x.unit AS unit, regexp_replace(regexp_extract(x.raw, '{_N}'), '[\s\p{{Z}}]', '', 'g') AS n FROM m),
-d AS (SELECT *, length(n) - length(replace(n, '.', '')) AS dots, length(n) - length(replace(n, ',', '')) AS commas, replace(replace(n, '.', ''), ',', '') AS joined, replace(n, ',', '.') AS point FROM n),
-v AS (SELECT seg_id, CAST(no AS INT) AS no, raw, CASE WHEN dots > 0 AND commas > 0 THEN [TRY_CAST(CASE WHEN instr(reverse(n), ',') < instr(reverse(n), '.') THEN replace(replace(n, '.', ''), ',', '.') ELSE replace(n, ',', '') END AS DOUBLE)]
-  WHEN dots + commas = 0 THEN [TRY_CAST(n AS DOUBLE)] WHEN dots + commas > 1 THEN [TRY_CAST(joined AS DOUBLE)] WHEN regexp_matches(n, '[.,][0-9]{{3}}$') THEN [TRY_CAST(joined AS DOUBLE), TRY_CAST(point AS DOUBLE)] ELSE [TRY_CAST(point AS DOUBLE)] END AS values, unit FROM d)"""
-
-
-@query(f"WITH {_MEASURED} SELECT seg_id, no, raw, values, unit FROM v")
+@query()
 def numeric_mismatches(spark: SparkSession, root: str) -> DataFrame:
     return rules.numeric_mismatches(_named(spark, root))
 
 
-_N = r"[0-9]{1,3}(?:[.,\s\p{Z}][0-9]{3})+(?:[.,][0-9]+)?|[0-9]+(?:[.,][0-9]+)?"
-_U = (
-    r"立方米|摄氏度|ms/cm|µs/cm|us/cm|mg/l|mg/kg|meq/l|毫米|厘米|千米|公里|毫克|千克|公斤|毫升|千帕|兆帕|ppm|ppb|phr|kpa|mpa|bar|psi|atm|ntu|rpm|lpm|gpm|g/l|m/s|°c|°f|mg|kg|µg|ug|ml|m3|mm|cm|km|kw|kwh|mw|hp|kv|ma|hz|"
-    r"米|克|吨|升|度|帕|巴|℃|℉|%|‰|g|t|l|m|v|a"
-)
-_W = r"\p{L}\p{N}_"
-# Without looking back: a mark before every place where a measurement may begin, and one in front of it for what ends before.
-_MEASURED = rf"""f0 AS (SELECT seg_id, translate(coalesce(text, ''), '０１２３４５６７８９，．、％：／　⁰¹²³⁴⁵⁶⁷⁸⁹₀₁₂₃₄₅₆₇₈₉μ', '0123456789,.,%:/ 01234567890123456789µ') AS t FROM {ONCE}),
-f AS (SELECT seg_id, {"replace(" * 18}t, '℃', '°C'), '℉', '°F'), '㎎', 'mg'), '㎏', 'kg'), '㎍', 'µg'), '㎜', 'mm'), '㎝', 'cm'), '㎞', 'km'), '㎡', 'm2'), '㎥', 'm3'), '㎖', 'ml'), 'ℓ', 'l'), '㎾', 'kW'), '㎸', 'kV'), '㎃', 'mA'), '㎐', 'Hz'), '㎪', 'kPa'), '㎫', 'MPa') AS t FROM f0),
-p AS (SELECT seg_id, regexp_replace(t, '(^|[^{_W}])([pP][hH])', '\1⟧⟦\2', 'g') AS t FROM f),
-q AS (SELECT seg_id, regexp_extract_all(t, '(?i)⟦(ph[\s\p{{Z}}]*(?:{_N}))(?:$|[^A-Za-z0-9])', 1) AS ph, replace(replace(regexp_replace(t, '(?i)⟦ph[\s\p{{Z}}]*(?:{_N})($|[^A-Za-z0-9])', ' \1', 'g'), '⟧', ''), '⟦', '') AS t FROM p),
-r AS (SELECT seg_id, ph, regexp_extract_all(regexp_replace(t, '(^|[^{_W}.,])([0-9])', '\1⟧⟦\2', 'g'), '(?i)⟦((?:{_N})[\s\p{{Z}}]*(?:{_U}))(?:$|[^A-Za-z0-9])', 1) AS rest FROM q),
-m AS (SELECT seg_id, unnest(list_concat(list_transform(ph, lambda x: {{'raw': x, 'unit': 'ph'}}), list_transform(rest, lambda x: {{'raw': x, 'unit': lower(trim(regexp_replace(x, '^(?:{_N})[\s\p{{Z}}]*', '')))}}))) AS x, generate_subscripts(list_concat(ph, rest), 1) - 1 AS no FROM r),
-n AS (SELECT seg_id, no, x.raw AS raw, x.unit AS unit, regexp_replace(regexp_extract(x.raw, '{_N}'), '[\s\p{{Z}}]', '', 'g') AS n FROM m),
-d AS (SELECT *, length(n) - length(replace(n, '.', '')) AS dots, length(n) - length(replace(n, ',', '')) AS commas, replace(replace(n, '.', ''), ',', '') AS joined, replace(n, ',', '.') AS point FROM n),
-v AS (SELECT seg_id, CAST(no AS INT) AS no, raw, CASE WHEN dots > 0 AND commas > 0 THEN [TRY_CAST(CASE WHEN instr(reverse(n), ',') < instr(reverse(n), '.') THEN replace(replace(n, '.', ''), ',', '.') ELSE replace(n, ',', '') END AS DOUBLE)]
-  WHEN dots + commas = 0 THEN [TRY_CAST(n AS DOUBLE)] WHEN dots + commas > 1 THEN [TRY_CAST(joined AS DOUBLE)] WHEN regexp_matches(n, '[.,][0-9]{{3}}$') THEN [TRY_CAST(joined AS DOUBLE), TRY_CAST(point AS DOUBLE)] ELSE [TRY_CAST(point AS DOUBLE)] END AS values, unit FROM d)"""
-
-
-@query(f"WITH {_MEASURED} SELECT seg_id, no, raw, values, unit FROM v")
+@query()
 def rule_outcomes(spark: SparkSession, root: str) -> DataFrame:
     segments, facts = _judged(spark, root)
     return rules.run(segments, facts=facts)
