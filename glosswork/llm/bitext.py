@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glosswork.llm import language
+from glosswork.llm.groups import in_groups, together
 from glosswork.llm.sentences import RAISED, body, spans
 from glosswork.llm.text_forms import transducer
 from glosswork.session import cut_lineage
@@ -426,25 +427,10 @@ def _document(doc: int, rows: pd.DataFrame) -> dict | None:
     return out
 
 
-def _by_document(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame]]:
-    """Documents of a partition that is sorted by document, whatever batches they are cut into."""
-    rest: list[pd.DataFrame] = []
-    for b in batches:
-        ids = b["doc_id"].to_numpy()
-        cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(b)]
-        for lo, hi in zip(cuts, cuts[1:]):
-            if rest and int(rest[0]["doc_id"].iloc[0]) != int(ids[lo]):
-                yield int(rest[0]["doc_id"].iloc[0]), pd.concat(rest)
-                rest = []
-            rest.append(b.iloc[lo:hi])
-    if rest:
-        yield int(rest[0]["doc_id"].iloc[0]), pd.concat(rest)
-
-
 def documents_as_numbers(segments: DataFrame, sections: DataFrame | None, model: language.Languages) -> DataFrame:
     """One row a document in several languages: its sentences in their order, with words, numbers, anchors and segments."""
     rows = said(segments, model)
-    # documents in one language end here; the rest stands together by document, in order, from this one exchange on
+    # documents in one language end here, after one exchange of texts; a second brings the names of the sections to the rest
     doc = Window.partitionBy("doc_id")
     rows = rows.withColumns({"lo": F.min("lang").over(doc), "hi": F.max("lang").over(doc)}).filter("lo <> hi").drop("lo", "hi")
     rows = rows.dropDuplicates(["doc_id", "seg_id"])
@@ -454,13 +440,13 @@ def documents_as_numbers(segments: DataFrame, sections: DataFrame | None, model:
             F.lit(None).cast("string").alias("section"), F.col("name").alias("text"),
         ).distinct()
         rows = rows.unionByName(names)
-    rows = rows.repartition("doc_id").sortWithinPartitions("doc_id", "seg_index", "seg_id")
+    rows = together(rows, ["doc_id"], "seg_index", "seg_id")
     split = F.when(F.col("lang") >= 0, spans(F.col("text")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: list[dict] = []
-        for doc_id, g in _by_document(batches):
-            if got := _document(doc_id, g):
+        for key, g in in_groups(batches, ["doc_id"]):
+            if got := _document(key[0], g):
                 found.append(got)
             if len(found) >= 100:
                 yield pd.DataFrame(found)
