@@ -360,6 +360,7 @@ def letters_of_texts(look: Lookup, texts: list[str], running: bool) -> tuple[np.
     return own // 8, own % 8, total, weighted, longest
 
 
+BODY, HEADING, RUNNING = 0, 1, 2
 LETTERS = "lang string, letters bigint, sure double, longest bigint"
 
 
@@ -398,14 +399,17 @@ def decide(letters: DataFrame, key: str) -> DataFrame:
 
 
 def _counted(documents: DataFrame, segments: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Letters by language of the body segments, and of the documents: by their segments, or by their text where they have none."""
+    """Letters by language of the segments (with `part`: BODY, HEADING or RUNNING), and of the documents: by their segments but
+    running headers and footers, or by their text where they have none."""
     model = fit(documents)
-    body = segments.filter(~F.coalesce(F.col("kind"), F.lit("")).isin("heading", "header", "footer"))
+    kind = F.coalesce(F.col("kind"), F.lit(""))
+    part = F.when(kind == "heading", HEADING).when(kind.isin("header", "footer"), RUNNING).otherwise(BODY).cast("bigint")
+    rows = segments.select("seg_id", "doc_id", "text", part.alias("part"))
     # only counts leave the first stage, so no text is ever shuffled; three branches read those of the segments
-    seg_letters = cut_lineage(tally(body, model, ["seg_id", "doc_id"], False).dropDuplicates(["seg_id", "lang"]))
-    of_doc = seg_letters.select("doc_id", "lang", "letters", "sure")
+    seg_letters = cut_lineage(tally(rows, model, ["seg_id", "doc_id", "part"], False).dropDuplicates(["seg_id", "lang"]))
+    of_doc = seg_letters.filter(F.col("part") != RUNNING).select("doc_id", "lang", "letters", "sure")
     plain = tally(documents, model, ["doc_id"], True).drop("longest").dropDuplicates(["doc_id", "lang"])
-    plain = plain.join(body.select("doc_id").distinct(), "doc_id", "left_anti")
+    plain = plain.join(rows.filter(F.col("part") == BODY).select("doc_id").distinct(), "doc_id", "left_anti")
     return seg_letters, of_doc.unionByName(plain)
 
 
@@ -424,8 +428,8 @@ def tally_confidence(documents: DataFrame, segments: DataFrame, tallies: DataFra
 def attribute(documents: DataFrame, segments: DataFrame, findings: DataFrame) -> DataFrame:
     """record, record_id, lang, confidence, label: a language for every document, finding and part of a mixed segment.
 
-    Documents that have segments are judged by their body segments (running headers and footers have no language), others
-    by their text. A segment is mixed if two languages have a clause of running text in it; it has a row for each.
+    Documents that have segments are judged by these (running headers and footers have no language), others by their text; a
+    finding by the segment it points to, of whatever kind. A segment is mixed if two languages have a clause of running text in it; it has a row for each.
     """
     seg_letters, doc_letters = _counted(documents, segments)
     labelled = documents.select("doc_id", notation(F.col("lang")).alias("label")).dropDuplicates(["doc_id"])
@@ -433,7 +437,7 @@ def attribute(documents: DataFrame, segments: DataFrame, findings: DataFrame) ->
         F.lit("document").alias("record"), F.col("doc_id").alias("record_id"), "lang", "confidence", "label"
     )
     east = F.col("lang").isin("zh", "ja", "th")
-    said = seg_letters.filter(F.col("longest") >= F.when(east, ENOUGH_EAST).otherwise(ENOUGH))
+    said = seg_letters.filter(F.col("part") == BODY).filter(F.col("longest") >= F.when(east, ENOUGH_EAST).otherwise(ENOUGH))
     mixed = said.groupBy("seg_id").agg(F.count("*").alias("n"), F.collect_list(F.struct("lang", "sure", "letters")).alias("parts")).filter("n > 1")
     seg_rows = mixed.select("seg_id", F.explode("parts").alias("p")).select(
         F.lit("segment").alias("record"), F.col("seg_id").alias("record_id"), F.col("p.lang").alias("lang"),
