@@ -476,6 +476,8 @@ def sides(row: tuple) -> tuple[dict[int, Side], dict[int, list[list[int]]]]:
 CELL = "a int, b int, f bigint, g bigint, n double"
 #: place of a language's own counts (f: word, n: sentences) in `b`, and the word that stands for no word
 OWN, NONE = -1, 0
+#: meetings of words that a worker holds before it adds them up: 24 bytes each, and about six times that while it does
+CELLS = 1_000_000
 
 
 def learnt_from(x: Side, y: Side) -> list[tuple[int, int, float]]:
@@ -525,23 +527,53 @@ def _added(f: np.ndarray, g: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.
     return names_f[own // len(names_g)], names_g[own % len(names_g)], total
 
 
+Part = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _met(row: tuple) -> Iterator[tuple[tuple[int, int], Part]]:
+    """((a, b), cells) of a document, in portions of about CELLS cells."""
+    own, _ = sides(row)
+    for a, x in own.items():
+        yield (a, OWN), (np.append(x.flat, NONE), np.full(len(x.flat) + 1, NONE), np.append(np.ones(len(x.flat)), x.n))
+        for b, y in own.items():
+            if a < b and (pairs := learnt_from(x, y)):
+                i, j = np.array([p[:2] for p in pairs], np.int64).T
+                portion = np.cumsum(x.size[i] * y.size[j] + x.size[i] + y.size[j]) // CELLS
+                cuts = [0, *(np.flatnonzero(np.diff(portion)) + 1).tolist(), len(pairs)]
+                for lo, hi in zip(cuts, cuts[1:]):
+                    yield (a, b), _crossed(x, y, pairs[lo:hi])
+
+
+def _tallied(parts: Iterator[tuple[tuple[int, int], Part]]) -> Iterator[tuple[tuple[int, int], Part]]:
+    """Cells added up; whenever CELLS are held, and given on when adding leaves more than half of them."""
+    found: dict[tuple[int, int], list[Part]] = defaultdict(list)
+    held = 0
+
+    def add_up() -> None:
+        for key, own in found.items():
+            found[key] = [_added(*(np.concatenate(c) for c in zip(*own)))]
+
+    for key, part in parts:
+        found[key].append(part)
+        held += len(part[0])
+        if held >= CELLS:
+            add_up()
+            held = sum(len(own[0][0]) for own in found.values())
+            if held > CELLS // 2:
+                yield from ((k, own[0]) for k, own in found.items())
+                found.clear()
+                held = 0
+    add_up()
+    yield from ((k, own[0]) for k, own in found.items())
+
+
 def meetings(docs: DataFrame) -> DataFrame:
     """a, b, f, g, n: how often words of two languages (a < b) meet in pairs of sentences, and (b = OWN) in how many
-    sentences a word stands (f = NONE: all sentences); added up in every batch before the shuffle."""
+    sentences a word stands (f = NONE: all sentences); added up in every task before the shuffle, CELLS at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found: dict[tuple[int, int], list] = defaultdict(list)
-            for row in batch.itertuples(index=False):
-                own, _ = sides(row)
-                for a, x in own.items():
-                    found[a, OWN].append((np.append(x.flat, NONE), np.full(len(x.flat) + 1, NONE), np.append(np.ones(len(x.flat)), x.n)))
-                    for b, y in own.items():
-                        if a < b and (pairs := learnt_from(x, y)):
-                            found[a, b].append(_crossed(x, y, pairs))
-            for (a, b), parts in found.items():
-                f, g, n = _added(*(np.concatenate(c) for c in zip(*parts)))
-                yield pd.DataFrame({"a": np.int32(a), "b": np.int32(b), "f": f, "g": g, "n": n})
+        for (a, b), (f, g, n) in _tallied(p for batch in batches for row in batch.itertuples(index=False) for p in _met(row)):
+            yield pd.DataFrame({"a": np.int32(a), "b": np.int32(b), "f": f, "g": g, "n": n})
 
     return docs.mapInPandas(run, CELL).groupBy("a", "b", "f", "g").agg(F.sum("n").alias("n"))
 

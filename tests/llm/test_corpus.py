@@ -1,5 +1,10 @@
 import random
+import tracemalloc
+from types import SimpleNamespace
+from unittest.mock import MagicMock
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,6 +231,36 @@ def test_translations(spark, documents, segments, monkeypatch):
     assert set(map(tuple, bitext.translations(segs.union(segs), docs, names).collect())) == got
 
 
+def _numbered(n, size=30, words=15):
+    """Documents as numbers: sentences of two languages without anchors, and what `meetings` counts in them."""
+    rng = np.random.default_rng(3)
+    lang = [0] * size + [1] * size
+    none = [np.zeros(0, np.int64)] * n
+    rows = {"doc_id": range(n), "lang": [lang] * n, "section": [[-1] * len(lang)] * n, "words": [rng.integers(1, 2000, len(lang) * words) for _ in range(n)], "words_n": [[words] * len(lang)] * n}
+    for c in ("numbers", "anchors", "segs"):
+        rows |= {c: none, f"{c}_n": [[0] * len(lang)] * n}
+    taken = []
+    bitext.meetings(SimpleNamespace(mapInPandas=lambda run, _: taken.append(run) or MagicMock()))
+    return pd.DataFrame(rows), taken[0]
+
+
+def test_counting_words_holds_few_at_a_time(spark, monkeypatch):
+    batch, run = _numbered(500)
+    tracemalloc.start()
+    for _ in run(iter([batch])):
+        pass
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert peak < 300
+    cells = lambda parts: pd.concat(parts).groupby(["a", "b", "f", "g"])["n"].sum()
+    batch = batch[:6]
+    whole = cells(run(iter([batch])))
+    monkeypatch.setattr(bitext, "CELLS", 5000, raising=False)  # in portions of a document, and given on many times
+    parts = list(run(iter([batch[:4], batch[4:]])))
+    assert len(parts) > 20 and np.allclose(cells(parts).reindex(whole.index), whole) and len(cells(parts)) == len(whole)
+    assert whole[0, bitext.OWN, bitext.NONE, bitext.NONE] == 6 * 30
+
+
 @pytest.mark.parametrize("n", [5, 60])
 def test_pairs_do_not_depend_on_the_size_of_a_document(n):
     names = [f"{a}{b}" for a in "bcdfghklmn" for b in ("ax", "ex", "ix", "ox", "ux", "yx")][:n]
