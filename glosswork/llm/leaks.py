@@ -41,14 +41,14 @@ WINDOWS = (1, 2, 3, 4, 5, 6, 8, 11)
 RUN = 4
 #: words or characters lost or doubled that a sentence may have, and the two together
 EDITS, EDITS_TOGETHER = 2, 3
-#: bits a window in the filters, and bits of a filter at least and at most (32 MB)
+#: bits a window in the filters, of which two are set, and bits of a filter at least and at most (32 MB)
 BITS, FILTER = 256, (1 << 20, 1 << 28)
 
 TOKEN = re.compile(
     r"[0-9]+(?:[.,:][0-9]+)*|[a-zß-ɏḀ-ỿµ̀-ͯ]+"
     r"|[々-〇぀-ヿ㐀-䶿一-鿿\U00020000-\U000323AF]|[ก-๿]+|[Ͱ-ԯ]+|\x02"
 )
-HYPHEN = re.compile(r"-(?<=[a-z]-)(?=[a-z])|[-¬](?<=[a-z][-¬])\s*\n\s*(?=[a-z])")
+HYPHEN = re.compile(r"[-¬](?<=[a-z][-¬])(?:(?<=-)(?=[a-z])|\s*\n\s*(?=[a-z]))")  # its first character is sought as a set
 GROUPED = re.compile(r"[0-9]{1,3}(?:[.,][0-9]{3})+")
 
 
@@ -246,20 +246,26 @@ def table(items: DataFrame) -> DataFrame:
 
 
 class Filter:
-    """A set of hashes as bits; it may let others through, too."""
+    """A set of hashes as two bits each; it may let others through, too."""
 
     def __init__(self, hashes: DataFrame, n: int):
         """hashes: h bigint. Bits are set by an aggregate, so at most FILTER bits come to the driver."""
         self.bits = min(max(1 << (BITS * max(n, 1)).bit_length(), FILTER[0]), FILTER[1])
-        place = F.col("h").bitwiseAND(F.lit(self.bits - 1))
-        words = hashes.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(%s & 63 as int))" % "h")).alias("bits")).toPandas()
+        places = F.array(*(h.bitwiseAND(F.lit(self.bits - 1)) for h in (F.col("h"), F.shiftright("h", 32))))
+        words = hashes.select(F.explode(places).alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits")).toPandas()
         self.words = np.zeros(self.bits // 64, np.uint64)
         self.words[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint64)
 
-    def has(self, h: np.ndarray) -> np.ndarray:
+    def _set(self, h: np.ndarray) -> np.ndarray:
         place = h & np.uint64(self.bits - 1)
         return (self.words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
+    def has(self, h: np.ndarray) -> np.ndarray:
+        out = self._set(h)
+        some = np.flatnonzero(out)
+        out[some] = self._set(h[some] >> np.uint64(32))
+        return out
+
 
 HIT = "doc_id bigint, at int, around string, hs array<bigint>"
 
@@ -371,14 +377,20 @@ def stands(parts: list[list[str]], start: int, doc: list[str]) -> bool:
 
 
 @pandas_udf(T.BooleanType())
-def stand_there(first: pd.Series, second: pd.Series, at: pd.Series, place: pd.Series, around: pd.Series) -> pd.Series:
-    """Whether both sentences stand in the tokens around a window; at: its place in the item, place: in those tokens."""
-    out = []
-    for a, b, q, p, text in zip(first, second, at, place, around):
+def stand_there(doc_id: pd.Series, item_id: pd.Series, first: pd.Series, second: pd.Series, at: pd.Series, place: pd.Series, around: pd.Series) -> pd.Series:
+    """Whether both sentences stand in the tokens around a window; at: its place in the item, place: in those tokens. Of
+    a document and an item only the first such row of a batch is given: many windows call for a check at one place."""
+    out, found = [], set()
+    for pair, a, b, q, p, text in zip(zip(doc_id, item_id), first, second, at, place, around):
+        if pair in found:
+            out.append(False)
+            continue
         parts, values, words, spare = _asked(a, b)
         doc = text.split(" ")
         plain = "".join([number(t) if t[0].isdigit() else t for t in doc])
         out.append(may_stand(values, words, spare, plain) and stands(parts, p - q, doc))
+        if out[-1]:
+            found.add(pair)
     return pd.Series(out, dtype=bool)
 
 
@@ -396,4 +408,4 @@ def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
     hits = documents.select("doc_id", "text").filter(F.length("text") > 0).mapInPandas(run, HIT)
     asked = pieces.filter(F.col("kind") != TEMPLATE).withColumnRenamed("at", "place")
     met = hits.select("doc_id", "at", "around", F.explode("hs").alias("h")).join(asked, "h")
-    return met.filter(stand_there("first", "second", "place", "at", "around")).select("doc_id", "item_id").distinct()
+    return met.filter(stand_there("doc_id", "item_id", "first", "second", "place", "at", "around")).select("doc_id", "item_id").distinct()

@@ -100,6 +100,23 @@ def test_leaks_with_a_full_filter(spark, documents, monkeypatch):
     assert leaks.leaked(documents([(1, ITEM, "en", "a")]), items.limit(0)).count() == 0
 
 
+def test_filters_let_few_others_through(spark):
+    rng = np.random.default_rng(2)
+    own, others = rng.integers(0, 1 << 64, 3000, np.uint64), rng.integers(0, 1 << 64, 1_000_000, np.uint64)
+    held = leaks.Filter(spark.createDataFrame(pd.DataFrame({"h": own.astype(np.int64)})), len(own))
+    assert held.has(own).all() and held.has(others).sum() < 300
+
+
+def test_a_leak_is_checked_once(monkeypatch):
+    checks, stands = [], leaks.stands
+    monkeypatch.setattr(leaks, "stands", lambda *a: checks.append(a) or stands(*a))
+    first, second = (" ".join(leaks.tokens(x)) for x in (CLEAN, "Samples of paste are always taken at noon."))
+    rows = [(1, 7, "other words"), (1, 7, f"{first} {second}"), (1, 7, f"{first} {second}"), (2, 7, f"{first} {second}"), (1, 8, f"{first} {second}")]
+    d = pd.DataFrame([(doc, item, first, second, 0, 0, text) for doc, item, text in rows])
+    got = {r[:2] for r, hit in zip(rows, leaks.stand_there.func(*(d[c] for c in d))) if hit}
+    assert got == {(1, 7), (2, 7), (1, 8)} and len(checks) == 3
+
+
 def test_pieces_round_trip(spark, documents):
     enc = tokens.encoding(tokens.TOKENIZER)
     texts = {1: "\n\n".join(" ".join(EN) for _ in range(30)), 2: "".join(ZH) * 60, 3: "x" * 5000, 4: "short", 5: "", 6: None, 7: "😀" * 400}
